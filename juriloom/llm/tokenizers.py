@@ -8,8 +8,12 @@ from functools import lru_cache
 from importlib import metadata
 from pathlib import Path
 
+import numpy as np
+
+from .words import Texts, Words, words
+
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
-TEXTS_BYTES_AT_ONCE = 1 << 20
+WORDS_AT_ONCE = 4096  # an encoding takes far more memory than its ids
 
 
 def vocabulary_path(name: str = DEFAULT_TOKENIZER) -> str:
@@ -52,3 +56,76 @@ def folds_white_space(path: str) -> bool:
     steps = normalizer.get("normalizers", [normalizer])
     plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"])) for t in spec.get("added_tokens", []))
     return plain and any(s.get("type") == "Replace" and s.get("pattern") == {"Regex": "\\s+"} and s.get("content") == " " for s in steps)
+
+
+def splits_at_white_space(path: str) -> bool:
+    """True if no token spans ASCII white space and none stands for it, so that the ids of a text are those of its words in turn."""
+    if not folds_white_space(path):
+        return False
+    before = json.loads(Path(path).read_text()).get("pre_tokenizer") or {}
+    first = (before.get("pretokenizers") or [before])[0]
+    return first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and "\\s\\p{L}\\p{N}]+" in str(first.get("pattern"))
+
+
+class WordIds:
+    """Ids of texts by way of their distinct words, for tokenizers that split at white space; else of whole texts.
+
+    Words seen before in this worker are looked up by their hash among at most ``most`` words.
+    """
+
+    def __init__(self, path: str, most: int = 1 << 20):
+        self.ids_of, self.by_word, self.most = load(path), splits_at_white_space(path), most
+        self._forget()
+
+    def _ids_of_words(self, raw: bytes, w: Words, which: np.ndarray) -> list[list[int]]:
+        found = []
+        for lo in range(0, len(which), WORDS_AT_ONCE):
+            part = which[lo : lo + WORDS_AT_ONCE]
+            found += self.ids_of([raw[a:b].decode() for a, b in zip(w.starts[part].tolist(), w.ends[part].tolist(), strict=True)])
+        return found
+
+    def _forget(self) -> None:
+        self.keys, self.lengths, self.firsts, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _learn(self, keys: np.ndarray, found: list[list[int]]) -> None:
+        if len(self.keys) + len(keys) > self.most:
+            self._forget()
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        firsts = len(self.ids) + np.cumsum(lengths) - lengths
+        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))])
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.lengths, self.firsts = np.insert(self.keys, at, keys), np.insert(self.lengths, at, lengths), np.insert(self.firsts, at, firsts)
+
+    def __call__(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """All ids as uint32, and where those of each text begin and end."""
+        if not self.by_word:
+            found = [ids for a, b in zip(texts.offsets, texts.offsets[1:], strict=False) for ids in self.ids_of([texts.data[a:b].tobytes().decode()])]
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum())), np.concatenate([[0], np.cumsum(lengths)])
+        w = words(texts)
+        keys, one, which = np.unique(w.hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        if not known.all():
+            raw, new = texts.data.tobytes(), one[~known]
+            found = self._ids_of_words(raw, w, new)
+            if len(self.keys) + len(new) > self.most:  # all words of this slice are needed below
+                found, new_keys = self._ids_of_words(raw, w, one), keys
+                self._forget()
+                self.most = max(self.most, len(keys))
+            else:
+                new_keys = keys[~known]
+            self._learn(new_keys, found)
+            at = np.searchsorted(self.keys, keys)
+        lengths, firsts = self.lengths[at][which], self.firsts[at][which]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.arange(total) + np.repeat(firsts - (ends - lengths), lengths)]
+        return ids, np.concatenate([[0], ends])[w.bounds]
+
+
+@lru_cache(2)
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
