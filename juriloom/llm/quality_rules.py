@@ -97,7 +97,7 @@ def distance(p: str, q: str) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
 
 
-def apply_rules(docs: DataFrame, char_bound: float = 0.22, word_bound: float = 0.55, min_chars: int = 200, min_words: int = 50, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def apply_rules(docs: DataFrame, char_bound: float = 0.3, word_bound: float = 0.28, min_chars: int = 300, min_words: int = 120, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, the base counts, base_failed, kept, and both distances (null where the document is too short)."""
     found = written(features(docs, doc_id, text, lang), "quality-features")
     sums = [F.sum(F.get("char_counts", F.lit(i))).alias(f"c{i}") for i in range(7)] + [F.sum(F.get("word_counts", F.lit(i))).alias(f"w{i}") for i in range(len(COMMON_WORDS) + 1)]
