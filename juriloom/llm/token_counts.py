@@ -11,12 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import fresh_path
-from .tokenizers import TEXTS_BYTES_AT_ONCE, folds_white_space, load, version_digest, vocabulary_path
+from .tokenizers import folds_white_space, version_digest, vocabulary_path, word_ids
+from .words import slices
 
 CACHE_SCHEMA = "content_digest binary, version_digest string, n_tokens long"
 WHITE_SPACE = ("\t", "\n", "\x0b", "\f", "\r")
@@ -33,17 +35,11 @@ def normalised(text, path: str):
 
 def _encode(path: str, version: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = load(path)
+        ids_of = word_ids(path)
         for batch in batches:
-            texts, counts, lo = batch.column("text").to_pylist(), [], 0
-            while lo < len(texts):
-                hi, size = lo + 1, len(texts[lo])
-                while hi < len(texts) and size + len(texts[hi]) <= TEXTS_BYTES_AT_ONCE:
-                    size += len(texts[hi])
-                    hi += 1
-                counts += [len(ids) for ids in ids_of(texts[lo:hi])]
-                lo = hi
-            yield pa.RecordBatch.from_arrays([batch.column("content_digest"), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())], names=["content_digest", "version_digest", "n_tokens"])
+            bounds = [ids_of(texts)[1] for texts in slices(batch.column("text"))]
+            counts = np.concatenate([np.diff(b) for b in bounds]) if bounds else []
+            yield pa.RecordBatch.from_arrays([batch.column("content_digest"), pa.array([version] * batch.num_rows, pa.string()), pa.array(counts, pa.int64())], names=["content_digest", "version_digest", "n_tokens"])
 
     return encode
 
