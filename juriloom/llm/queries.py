@@ -4,10 +4,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .ngram_lm import score_held_out
 from .packing import pack
 from .quality_cnn import classify
 from .quality_rules import apply_rules
+from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
 
 
@@ -23,6 +26,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(_read(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = remove_repeats(_read(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"))
 
@@ -31,8 +39,12 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_held_out(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_quality_rules, op8_packing, op9_quality_classifier)}
+    return {f.__name__: f for f in (op1_token_counts, op3_quality_rules, op5_substring_dedup, op8_packing, op9_quality_classifier, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
