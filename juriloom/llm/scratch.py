@@ -35,7 +35,7 @@ def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """Size of the input as the optimizer sees it (file sizes for a scan); no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def block_count(df: DataFrame, bytes_per_block: int = TARGET_BLOCK_BYTES) -> int:
