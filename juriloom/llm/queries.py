@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .minhash_dedup import near_duplicates
 from .ngram_lm import score_held_out
 from .packing import pack
 from .quality_cnn import classify
@@ -31,6 +32,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"), size=2)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"))
 
@@ -44,7 +49,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_quality_rules, op5_substring_dedup, op8_packing, op9_quality_classifier, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_token_counts, op3_quality_rules, op5_substring_dedup, op7_near_duplicates, op8_packing, op9_quality_classifier, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
