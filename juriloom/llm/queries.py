@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import line_dedup
 from .minhash_dedup import near_duplicates
 from .ngram_lm import score_held_out
 from .packing import pack
@@ -23,6 +24,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_read(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.remove_repeated_lines(_read(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(_read(spark, sf_dir, "documents"))
 
@@ -49,8 +55,8 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_quality_rules, op5_substring_dedup, op7_near_duplicates, op8_packing, op9_quality_classifier, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_quality_rules, op5_substring_dedup, op7_near_duplicates, op8_packing, op9_quality_classifier, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": line_dedup.ORACLE}
