@@ -64,7 +64,7 @@ def splits_at_white_space(path: str) -> bool:
         return False
     before = json.loads(Path(path).read_text()).get("pre_tokenizer") or {}
     first = (before.get("pretokenizers") or [before])[0]
-    return first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and "\\s\\p{L}\\p{N}]+" in str(first.get("pattern"))
+    return first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and (first.get("pattern") or {}).get("Regex", "").endswith("[^\\s\\p{L}\\p{N}]+")
 
 
 class WordIds:
@@ -73,7 +73,7 @@ class WordIds:
     Words seen before in this worker are looked up by their hash among at most ``most`` words.
     """
 
-    def __init__(self, path: str, most: int = 1 << 20):
+    def __init__(self, path: str, most: int = 3 << 20):
         self.ids_of, self.by_word, self.most = load(path), splits_at_white_space(path), most
         self._forget()
 
