@@ -113,7 +113,7 @@ def spans(texts: Texts, of_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def words(texts: Texts, of_word: np.ndarray = SPACE_DELIMITED, lower: bool = False) -> Words:
-    starts, ends, bounds = spans(texts, of_word)
+    starts, ends, bounds = spans(texts, of_word[LOWER] if lower else of_word)
     up, down = _BYTES.upto(len(texts.data) + 1)
     sums = np.zeros(len(texts.data) + 1, U)
     values = BYTE_VALUES[LOWER] if lower else BYTE_VALUES
