@@ -154,6 +154,6 @@ def _covered(places: list[int], item_places: list[int], slots: list[list[int]],
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows that hold no item."""
-    found = leaks(docs, benchmark, doc_id=doc_id, text=text, **options).select(F.col("doc_id").alias("_leak_id"), F.col("text_hash").alias("_leak_hash")).distinct()
+    found = written(leaks(docs, benchmark, doc_id=doc_id, text=text, **options).select(F.col("doc_id").alias("_leak_id"), F.col("text_hash").alias("_leak_hash")).distinct(), "leaks")
     same = F.col(doc_id).eqNullSafe(F.col("_leak_id")) & (F.coalesce(F.xxhash64(F.col(text)), F.lit(0)) == F.col("_leak_hash"))
     return docs.join(found, same, "left_anti")

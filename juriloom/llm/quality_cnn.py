@@ -171,7 +171,7 @@ def score(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [score_texts(net, t) for t in slices(batch.column("text"), 1 << 18)]
+            got = [score_texts(net, t) for t in slices(batch.column("text"), 1 << 17)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(got) if got else [], pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
@@ -181,3 +181,14 @@ def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.3, max_fit_rows:
     """doc_id, held_out, score and predicted of every document."""
     scored = score(docs, fit_on(docs, labels, max_fit_rows))
     return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, net: Network, cut: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose score is ``cut`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [score_texts(net, t) for t in slices(batch.column(text), 1 << 17)]
+            yield batch.filter(pa.array(np.concatenate(got) >= cut if got else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)
