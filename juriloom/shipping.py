@@ -8,10 +8,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Spark's own number of rows in an Arrow batch, and ours: texts are long, and a worker holds whole batches.
+DEFAULT_ROWS, ROWS = "10000", "2000"
 
 
 def ship(spark: SparkSession) -> None:
-    """Add the package to the session's Python files, once for each application."""
+    """Add the package to the session's Python files, once for each application, and keep Arrow batches small unless their size was set."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == DEFAULT_ROWS:
+        spark.conf.set(rows, ROWS)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
