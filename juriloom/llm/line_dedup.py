@@ -54,7 +54,8 @@ def repeated_lines(docs: DataFrame, run: int = 3, doc_id: str = "doc_id", text:
 def remove_repeated_lines(docs: DataFrame, run: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows with their text rid of repeated runs, and n_lines and n_removed_lines beside it."""
     marks = repeated_lines(docs, run, doc_id, text).select(F.col("id").alias("_marked_id"), F.col("text_hash").alias("_marked_hash"), F.col("starts").alias("_starts"))
-    joined = docs.join(marks, F.col(doc_id).eqNullSafe(F.col("_marked_id")) & (F.xxhash64(F.col(text)) == F.col("_marked_hash")), "left").drop("_marked_id", "_marked_hash")
+    # marks grow with the input, so the join is a sort-merge at every size
+    joined = docs.join(marks.hint("merge"), F.col(doc_id).eqNullSafe(F.col("_marked_id")) & (F.xxhash64(F.col(text)) == F.col("_marked_hash")), "left").drop("_marked_id", "_marked_hash")
     numbered = joined.withColumn("_lines", _numbered(F.col(text)))
     spread = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + run - 1))))
     gone = numbered.withColumn("_spread", F.when(F.col("_starts").isNotNull(), spread))
