@@ -34,6 +34,7 @@ from .words import U, Texts, mix, pack, pack_sorted, slices, unpack, unpack_sort
 
 END = U(0x243F6A8885A308D3)
 SLICE = 4 << 20
+TOKENS_AT_ONCE = 4 << 20
 
 
 class Shard(NamedTuple):
@@ -107,30 +108,35 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 
 def train(docs: DataFrame, text: str = "text") -> Model:
     """Count all rows of ``docs`` and leave the model in the shared folder."""
-    blocks = block_count(docs)
+    blocks = block_count(docs, text=text)
     side = 1 << max(3, ceil(log2(max(sqrt(blocks) / 2, 1))))
     parts = side * side
     shift = U(64 - int(log2(parts)))
     folder = fresh_path(docs.sparkSession, "pairs-model")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        us, ws, held = [], [], 0
         for batch in batches:
-            us, ws = [], []
             for texts in slices(batch.column("text"), SLICE):
                 h, bounds = tokens(texts)
                 us.append(before(h, bounds))
                 ws.append(h)
-            if not us:
-                continue
-            u, w = np.concatenate(us), np.concatenate(ws)
-            _, u, w, n = counted(u, w, np.ones(len(u), np.int64))
-            shard = (u & U(side - 1)) * U(side) + (w & U(side - 1))
-            order = np.lexsort((u, shard))
-            u, w, n, shard = u[order], w[order], n[order], shard[order]
-            edges = np.searchsorted(shard, np.arange(parts + 1, dtype=U))
-            used = [k for k in range(parts) if edges[k + 1] > edges[k]]
-            cut = [slice(edges[k], edges[k + 1]) for k in used]
-            yield pa.RecordBatch.from_pydict({"shard": pa.array(used, pa.int32()), "u": pa.array([pack_sorted(u[c]) for c in cut], pa.binary()), "w": pa.array([pack(w[c]) for c in cut], pa.binary()), "n": pa.array([pack(n[c]) for c in cut], pa.binary())})
+                held += len(h)
+                if held >= TOKENS_AT_ONCE:
+                    yield sent(np.concatenate(us), np.concatenate(ws))
+                    us, ws, held = [], [], 0
+        if us:
+            yield sent(np.concatenate(us), np.concatenate(ws))
+
+    def sent(u: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+        _, u, w, n = counted(u, w, np.ones(len(u), np.int64))
+        shard = (u & U(side - 1)) * U(side) + (w & U(side - 1))
+        order = np.lexsort((u, shard))
+        u, w, n, shard = u[order], w[order], n[order], shard[order]
+        edges = np.searchsorted(shard, np.arange(parts + 1, dtype=U))
+        used = [k for k in range(parts) if edges[k + 1] > edges[k]]
+        cut = [slice(edges[k], edges[k + 1]) for k in used]
+        return pa.RecordBatch.from_pydict({"shard": pa.array(used, pa.int32()), "u": pa.array([pack_sorted(u[c]) for c in cut], pa.binary()), "w": pa.array([pack(w[c]) for c in cut], pa.binary()), "n": pa.array([pack(n[c]) for c in cut], pa.binary())})
 
     names = ["shard", "part", "size", "kinds", "n1", "n2", "n3", "n4", "u", "sums", "ones", "twos", "more", "w", "befores"]
     kinds = "shard int, part int, size long, kinds string, n1 long, n2 long, n3 long, n4 long, u binary, sums binary, ones binary, twos binary, more binary, w binary, befores binary"

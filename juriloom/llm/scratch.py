@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TARGET_BLOCK_BYTES = 6 << 20
+UNKNOWN = 1 << 60  # Spark's size of what it knows nothing about is larger
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,14 +34,18 @@ def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Size of the input as the optimizer sees it (file sizes for a scan); no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    """About how many bytes of text there are: a plain scan's file sizes, without a job; else they are added up."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    if plan.collectLeaves().size() == 1 and size < UNKNOWN:
+        return 2 * size
+    return int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
 
 
-def block_count(df: DataFrame, bytes_per_block: int = TARGET_BLOCK_BYTES) -> int:
+def block_count(docs: DataFrame, bytes_per_block: int = TARGET_BLOCK_BYTES, text: str = "text") -> int:
     """How many blocks of bounded size the rows are dealt into; it follows the input's size alone."""
-    return max(2, -(-min(plan_bytes(df), 1 << 60) * 2 // bytes_per_block))
+    return max(2, -(-text_bytes(docs, text) // bytes_per_block))
 
 
 def in_block(column, blocks: int):

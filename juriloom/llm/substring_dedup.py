@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import block_count, in_block, plan_bytes
+from .scratch import block_count, in_block
 from .words import U, pack, pack_sorted, slices, unpack, unpack_sorted, window_starts, windows, words
 
 BLOCK_BYTES = 4 << 20
@@ -87,9 +87,9 @@ def _grouped(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray,
 
 def remove_repeats(docs: DataFrame, size: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (the kept words, joined by one space) of every row."""
-    blocks = block_count(docs, BLOCK_BYTES)
+    blocks = block_count(docs, BLOCK_BYTES, text)
     ranges = 1 << max(6, ceil(log2(blocks)))
-    bits = max(24, ceil(log2(max(plan_bytes(docs), 2) / 3)) + CELLS_FOR_A_WINDOW)
+    bits = max(24, ceil(log2(blocks * BLOCK_BYTES / 6)) + CELLS_FOR_A_WINDOW)
     bits = min(64, max(bits, int(log2(ranges)) + 1))
     dealt = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), in_block(F.col(doc_id), blocks).alias("block")).repartition(blocks, "block")
 

@@ -11,7 +11,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 U = np.uint64
 
 
@@ -83,8 +83,10 @@ def slices(column, most: int = SLICE_BYTES) -> Iterator[Texts]:
     for chunk in chunks:
         if not len(chunk):
             continue
-        chunk = chunk.cast(pa.large_string()).fill_null("")
-        offsets = np.frombuffer(chunk.buffers()[1], np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]
+        if chunk.null_count:
+            chunk = chunk.fill_null("")
+        wide = np.int64 if pa.types.is_large_string(chunk.type) else np.int32
+        offsets = np.frombuffer(chunk.buffers()[1], wide)[chunk.offset : chunk.offset + len(chunk) + 1].astype(np.int64)
         raw = chunk.buffers()[2]
         data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
         lo = 0
