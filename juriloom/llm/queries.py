@@ -1,6 +1,8 @@
 """The ten operators with their production parameters over their whole tables."""
 from __future__ import annotations
 
+__all__ = ["oracle_sql", "queries"]
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,7 @@ from .decontaminate import leaks
 from .license_scan import scan
 from .minhash_dedup import near_duplicates
 from .ngram_lm import score_held_out
+from .oracles import oracle_sql
 from .packing import pack
 from .quality_cnn import classify
 from .quality_rules import apply_rules
@@ -32,7 +35,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_rules(_read(spark, sf_dir, "documents"))
+    return apply_rules(_read(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +70,3 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_quality_rules, op4_decontamination, op5_substring_dedup, op6_license_scan, op7_near_duplicates, op8_packing, op9_quality_classifier, op10_lm_scoring)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE}
