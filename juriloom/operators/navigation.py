@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from juriloom.functions.text import ascii_key, norm_key, tokens
+from juriloom.lineage import cut
 
 MAX_HOPS, EVIDENCE, KEEP = 3, 4, 12
 
@@ -13,24 +14,26 @@ def navigate(profiles: DataFrame, nodes: DataFrame, start: DataFrame, max_hops:
     """(question_id, node_id, rank, hops, action) where each question ends. start: (question_id, node_id, rank).
 
     A question whose first candidate has children goes on to them if it names an article alone or nothing; else it is
-    answered. Each hop is one set of joins for all questions that go on; hops are bounded, so the plan is too.
+    answered. Each hop is one set of joins for all questions that go on, and is written before the next, so that a plan
+    never holds the hops before it twice; the loop ends early where no question goes on.
     """
     kids = nodes.where("parent_id is not null").select(F.col("parent_id").alias("at"), F.col("node_id").alias("kid"), "order_index")
     bearing = kids.select("at").distinct().withColumn("bears", F.lit(True))
     may = profiles.select("question_id", F.col("clause").isNull().alias("may"))
-    state, done = start.select("question_id", "node_id", "rank", F.lit(0).alias("hops")), None
+    state, done = cut(start.select("question_id", "node_id", "rank", F.lit(0).alias("hops"))), None
     for hop in range(max_hops + 1):
         first = state.where("rank = 1").join(may, "question_id").join(bearing, F.col("node_id") == F.col("at"), "left")
-        onward = first.where(F.col("may") & F.coalesce("bears", F.lit(False))).select("question_id", F.col("node_id").alias("from"))
-        if hop == max_hops:
+        onward = cut(first.where(F.col("may") & F.coalesce("bears", F.lit(False))).select("question_id", F.col("node_id").alias("from")))
+        last = hop == max_hops or onward.isEmpty()
+        if last:
             onward = onward.limit(0)
         ended = state.join(onward.select("question_id"), "question_id", "left_anti").withColumn("action", F.lit("answer"))
         done = ended if done is None else done.unionByName(ended)
-        if hop == max_hops:
+        if last:
             break
         below = onward.join(kids, F.col("from") == F.col("at"))
         order = Window.partitionBy("question_id").orderBy("order_index", "kid")
-        state = below.select("question_id", F.col("kid").alias("node_id"), F.row_number().over(order).alias("rank"), F.lit(hop + 1).alias("hops")).where(F.col("rank") <= keep)
+        state = cut(below.select("question_id", F.col("kid").alias("node_id"), F.row_number().over(order).alias("rank"), F.lit(hop + 1).alias("hops")).where(F.col("rank") <= keep))
     return done
 
 
