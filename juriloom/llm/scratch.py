@@ -52,5 +52,10 @@ def in_block(column, blocks: int):
     return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
 
 
+def in_block_column(column, blocks: str):
+    """The same for a number of blocks that stands in a column."""
+    return F.pmod(F.xxhash64(column), F.col(blocks)).cast("int")
+
+
 def column_or_null(df: DataFrame, name: str, kind: str):
     return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
