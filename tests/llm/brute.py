@@ -35,7 +35,7 @@ def substring(rows, size):
 
 
 def shingles(t, size):
-    w = words(t)
+    w = words(lower(t))
     return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) or (frozenset([tuple(w)]) if w else frozenset())
 
 

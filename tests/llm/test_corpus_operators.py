@@ -27,7 +27,7 @@ def edited(text, share):
     return " ".join(r.choice(VOCABULARY) if r.random() < share else w for w in text.split())
 
 
-TEXTS = [None, "", " \n ", "one", "one", prose(30), PASSAGE, prose(40) + " " + PASSAGE + " " + prose(10), PASSAGE + "\n" + PASSAGE, BASE, BASE, *(edited(BASE, 0.02) for _ in range(25)), *(edited(BASE, 0.09) for _ in range(15)), prose(20_000), *(prose(60) for _ in range(20))]
+TEXTS = [None, "", " \n ", "one", "one", prose(30), PASSAGE, prose(40) + " " + PASSAGE + " " + prose(10), PASSAGE + "\n" + PASSAGE, BASE, BASE.upper(), *(edited(BASE, 0.02) for _ in range(25)), *(edited(BASE, 0.09) for _ in range(15)), prose(20_000), *(prose(60) for _ in range(20))]
 SCHEMA = "doc_id long, text string, id long, h string, block int, part int, component long, k long, n long, component_id string"
 
 
@@ -112,8 +112,9 @@ def test_line_dedup(spark, run):
     assert line_dedup.remove_repeated_lines(df.limit(0), run).count() == 0
 
 
-def test_line_dedup_matches_sql(spark):
-    ours, theirs = both(spark, queries.op2_line_dedup, queries.oracle_sql()["op2_line_dedup"], "/root/testdata/sf0.001")
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_matches_sql(spark, name):
+    ours, theirs = both(spark, queries.queries()[name], queries.oracle_sql()[name], "/root/testdata/sf0.001")
     assert ours == theirs
 
 
