@@ -51,8 +51,8 @@ def repeated_lines(docs: DataFrame, run: int = 3, doc_id: str = "doc_id", text:
     return written(later.groupBy("id", "text_hash").agg(F.collect_set("start").alias("starts")), "line-marks")
 
 
-def remove_repeated_lines(docs: DataFrame, run: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows with their text rid of repeated runs, and n_lines and n_removed_lines beside it."""
+def remove_repeated_lines(docs: DataFrame, run: int = 3, doc_id: str = "doc_id", text: str = "text", n_lines: str = "n_lines", n_removed: str = "n_removed_lines") -> DataFrame:
+    """The rows with their text rid of repeated runs, and two counts beside it, in place of columns of those names."""
     marks = repeated_lines(docs, run, doc_id, text).select(F.col("id").alias("_marked_id"), F.col("text_hash").alias("_marked_hash"), F.col("starts").alias("_starts"))
     # marks grow with the input, so the join is a sort-merge at every size
     joined = docs.join(marks.hint("merge"), F.col(doc_id).eqNullSafe(F.col("_marked_id")) & (F.xxhash64(F.col(text)) == F.col("_marked_hash")), "left").drop("_marked_id", "_marked_hash")
@@ -62,8 +62,8 @@ def remove_repeated_lines(docs: DataFrame, run: int = 3, doc_id: str = "doc_id",
     gone = gone.withColumn("_gone", F.when(F.col("_spread").isNotNull(), F.transform(F.col("_spread"), lambda k: F.get("_lines", k)["i"])))
     kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     return (
-        gone.withColumn("n_lines", F.size("_lines").cast("long"))
-        .withColumn("n_removed_lines", F.when(F.col("_spread").isNotNull(), F.size("_spread")).otherwise(0).cast("long"))
+        gone.withColumn(n_lines, F.size("_lines").cast("long"))
+        .withColumn(n_removed, F.when(F.col("_spread").isNotNull(), F.size("_spread")).otherwise(0).cast("long"))
         .withColumn(text, F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col(text)))
         .drop("_starts", "_lines", "_spread", "_gone")
     )
