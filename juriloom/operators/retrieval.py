@@ -76,7 +76,7 @@ def direct_targets(profiles: DataFrame, nodes: DataFrame, most: int = 8) -> Data
     return counted.withColumn("rank", F.row_number().over(group.orderBy("order_index", "doc_id"))).where(F.col("rank") <= most).select("question_id", "node_id", "rank")
 
 
-def reference_exact(md: dict[str, str] | None = None) -> Column:
+def reference_exact() -> Column:
     """0.5 for the article and 0.3 for the clause in place, less where only the path has them, 0 where one asked for is missing."""
     path = F.lower("path_title")
 
