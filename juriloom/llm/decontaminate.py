@@ -94,7 +94,7 @@ def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("item_id")[texts.lo : texts.hi], batch.column("text")[texts.lo : texts.hi], pa.array(np.diff(template(texts)[2]), pa.int64())], names=["item_id", "text", "n_words"])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, long_run: int = 16, literal: int = 3, least: int = 5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, long_run: int = 13, literal: int = 3, least: int = 5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, text_hash, item_id, covered, item_words, changed_slots) for each document and item that it holds."""
     raw = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
     kind = raw.schema["item_id"].dataType.simpleString()
