@@ -170,7 +170,7 @@ def _by_part(k: np.ndarray, parts: int) -> tuple[np.ndarray, list[int]]:
 class _Search:
     def __init__(self, docs: DataFrame, reps: DataFrame, size: int, percent: int):
         """docs: (id, text); reps: (id, n, signature)."""
-        self.docs, self.reps, self.size, self.percent, self.sets, self.alone = docs, reps, size, percent, None, None
+        self.docs, self.reps, self.size, self.percent, self.sets = docs, reps.withColumn("alone", F.lit(0).cast("long")), size, percent, None
         self.family = reps.select(F.col("id").alias("node"), F.col("id").alias("component")).distinct()
         self.blocks = max(2, reps.count() // CLASSES_IN_BLOCK)
         self.parts = 1 << max(6, ceil(log2(self.blocks)))
@@ -220,17 +220,12 @@ class _Search:
             # how many shingles of each no other has that shares a bucket: no partner can share those
             once = self.sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id = last")
             twice = self.reps.groupBy("id").count().where("count > 1").select("id")  # rows of one id with several texts: no bound
-            self.alone = written(once.groupBy("id").agg(F.count("*").alias("alone")).join(twice, "id", "left_anti"), "alone")
+            alone = once.groupBy("id").agg(F.count("*").alias("alone")).join(twice, "id", "left_anti")
+            self.reps = written(self.reps.drop("alone").join(alone.hint("merge"), "id", "left").fillna(0, ["alone"]), "classes")
         return self.confirmed(_unpacked(found.where("part = -1")), over)
 
-    def described(self) -> DataFrame:
-        """The classes with how many shingles they have alone, 0 before that is known."""
-        if self.alone is None:
-            return self.reps.withColumn("alone", F.lit(0).cast("long"))
-        return self.reps.join(self.alone.hint("merge"), "id", "left").fillna(0, ["alone"])
-
     def labelled(self, labels: DataFrame) -> DataFrame:
-        return self.described().join(labels.select(F.col("node").alias("id"), "component").hint("merge"), "id")
+        return self.reps.join(labels.select(F.col("node").alias("id"), "component").hint("merge"), "id")
 
     def dealt(self, df: DataFrame) -> DataFrame:
         return df.withColumn("block", in_block("id", self.blocks)).repartition(self.blocks, "block")
@@ -238,7 +233,7 @@ class _Search:
     def confirmed(self, close: DataFrame, other: DataFrame) -> DataFrame:
         """The linked ones of candidate pairs; those in ``close`` have passed the test by signature."""
         percent = self.percent
-        sided = lambda c: self.described().select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("alone").alias(f"o{c}"), F.col("signature").alias(f"s{c}"))
+        sided = lambda c: self.reps.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("alone").alias(f"o{c}"), F.col("signature").alias(f"s{c}"))
 
         def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -294,7 +289,8 @@ class _Search:
                     b.append(max(ids[i], ids[j]))
             return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-        return written(strays.unionByName(members).groupBy("family", "s", "m").applyInArrow(compare, "a long, b long").distinct(), "links")
+        # dealt by all three: by the family alone, as the join before leaves them, a family would be one task
+        return written(strays.unionByName(members).repartition("family", "s", "m").groupBy("family", "s", "m").applyInArrow(compare, "a long, b long").distinct(), "links")
 
     def between(self, labels: DataFrame) -> DataFrame:
         """Links in buckets of three or more whose members are not yet in one family. labels: of families."""
