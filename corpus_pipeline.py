@@ -19,6 +19,9 @@ from juriloom.llm.quality_cnn import fit_on, keep_good
 from juriloom.llm.scratch import written
 from juriloom.shipping import ship
 
+#: Runs of one or two lines are removed from so many words on, and single lines of any length that stand in so many places.
+LINE_WORDS, LINE_PLACES = 5, 100
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
@@ -27,7 +30,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    left = remove_repeated_lines(docs, n_lines="_n_lines", n_removed="_n_removed")
+    left = remove_repeated_lines(docs, n_lines="_n_lines", n_removed="_n_removed", words=LINE_WORDS, often=LINE_PLACES)
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return left.select(*docs.columns)

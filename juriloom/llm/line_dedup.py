@@ -4,10 +4,14 @@ A run is ``run`` or more lines in turn, lines without a word left out. Winnowing
 the smallest is selected, so two equal runs share at least one selected hash. Selected hashes that occur more than once
 are joined back to their places; around such a place the match is extended both ways, by every window that covers it;
 windows are compared by two 64-bit hashes, and one that is not the first of its kind, by id and line, is deleted.
+With ``words`` given, shorter runs count too: one to ``run`` - 1 lines in turn that hold ``words`` words or more or are a
+whole document; and, with ``often``, single lines that stand in ``often`` places or more, however short. All of them are
+keyed without winnowing, but for runs whose lines are all long enough alone.
+
 Everything runs in Spark's own functions. Counts are combined before each shuffle; no group is collected but the marks
 of one document.
 
-Defined cases: null and empty texts have no lines and stay; documents with fewer lines than a run stay as they are; rows
+Defined cases: null and empty texts have no lines and stay; documents with fewer lines than a run stay as they are unless ``words`` is given; rows
 that share id and text are one place, so neither removes the other; a null id counts as smaller than all others; an
 empty table gives an empty result; further columns are kept.
 """
@@ -28,7 +32,7 @@ def _numbered(text: Column) -> Column:
 
 
 def repeated_lines(docs: DataFrame, run: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text_hash, starts): where windows of lines begin that stand earlier, for each document with any."""
+    """(id, text_hash, start, size): where windows of ``run`` lines begin that stand earlier."""
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"), F.transform(_numbered(F.col(text)), lambda x: F.xxhash64(x["line"])).alias("h")).where(F.size("h") >= run)
     lowest = lambda i: F.array_position(F.slice("h", i + 1, run), F.array_min(F.slice("h", i + 1, run))).cast("int")
     chosen = rows.withColumn("at", F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("h") - run), lambda i: i + lowest(i) - 1)))
@@ -48,16 +52,45 @@ def repeated_lines(docs: DataFrame, run: int = 3, doc_id: str = "doc_id", text:
     windows = written(windows, "line-windows")
     first = windows.groupBy("k1", "k2").agg(F.min(F.struct("id", "text_hash", "start")).alias("first"))
     later = windows.join(first, ["k1", "k2"]).where(~F.struct("id", "text_hash", "start").eqNullSafe(F.col("first")))
-    return written(later.groupBy("id", "text_hash").agg(F.collect_set("start").alias("starts")), "line-marks")
+    return later.select("id", "text_hash", "start", F.lit(run).alias("size"))
+
+
+def repeated_short_runs(docs: DataFrame, run: int, words: int, often: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, text_hash, start, size): runs of fewer than ``run`` lines that stand earlier, if long, frequent or whole."""
+    lines = F.transform(_numbered(F.col(text)), lambda x: F.struct(F.xxhash64(x["line"]).alias("h"), F.regexp_count(x["line"], F.lit(WORD + "+")).alias("n")))
+    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"), lines.alias("l")).where(F.size("l") > 0)
+
+    def of_size(size: int) -> Column:
+        def window(i: Column) -> Column:
+            part = F.slice("l", i + 1, size)
+            return F.struct(i.alias("start"), F.lit(size).alias("size"), F.transform(part, lambda x: x["h"]).alias("w"), F.transform(part, lambda x: x["n"]).alias("n"))
+
+        return F.when(F.size("l") >= size, F.transform(F.sequence(F.lit(0), F.size("l") - size), window)).otherwise(F.array())
+
+    windows = rows.select("id", "text_hash", F.size("l").alias("of"), F.explode(F.flatten(F.array(*(of_size(k) for k in range(1, run))))).alias("x")).select("id", "text_hash", "of", "x.*")
+    total = F.aggregate("n", F.lit(0), lambda a, x: a + x)
+    windows = windows.select("id", "text_hash", "start", "size", (F.col("size") == F.col("of")).alias("whole"), (total >= words).alias("long"), F.array_min("n").alias("least"), F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), "w").alias("k2"))
+    windows = written(windows.where((F.col("size") == 1) | (F.col("least") < words) & (F.col("long") | F.col("whole"))).drop("least"), "short-runs")
+    place = F.struct("id", "text_hash", "start")
+    more = windows.groupBy("k1", "k2").agg(F.min(place).alias("low"), F.max(place).alias("high")).where(~F.col("low").eqNullSafe(F.col("high"))).select("k1", "k2")
+    # a row that is there twice is one place
+    repeats = written(windows.join(more, ["k1", "k2"], "left_semi").distinct(), "repeated-short-runs")
+    first = repeats.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("places"))
+    frequent = F.lit(False) if often is None else (F.col("size") == 1) & (F.col("places") >= often)
+    later = repeats.join(first, ["k1", "k2"]).where(~place.eqNullSafe(F.col("first")) & (F.col("long") | F.col("whole") | frequent))
+    return later.select("id", "text_hash", "start", "size")
 
 
-def remove_repeated_lines(docs: DataFrame, run: int = 3, doc_id: str = "doc_id", text: str = "text", n_lines: str = "n_lines", n_removed: str = "n_removed_lines") -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, run: int = 3, doc_id: str = "doc_id", text: str = "text", n_lines: str = "n_lines", n_removed: str = "n_removed_lines", words: int | None = None, often: int | None = None) -> DataFrame:
     """The rows with their text rid of repeated runs, and two counts beside it, in place of columns of those names."""
-    marks = repeated_lines(docs, run, doc_id, text).select(F.col("id").alias("_marked_id"), F.col("text_hash").alias("_marked_hash"), F.col("starts").alias("_starts"))
+    places = repeated_lines(docs, run, doc_id, text)
+    if words is not None:
+        places = places.union(repeated_short_runs(docs, run, words, often, doc_id, text))
+    marks = written(places.groupBy("id", "text_hash").agg(F.collect_set(F.struct("start", "size")).alias("starts")), "line-marks").select(F.col("id").alias("_marked_id"), F.col("text_hash").alias("_marked_hash"), F.col("starts").alias("_starts"))
     # marks grow with the input, so the join is a sort-merge at every size
     joined = docs.join(marks.hint("merge"), F.col(doc_id).eqNullSafe(F.col("_marked_id")) & (F.xxhash64(F.col(text)) == F.col("_marked_hash")), "left").drop("_marked_id", "_marked_hash")
     numbered = joined.withColumn("_lines", _numbered(F.col(text)))
-    spread = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + run - 1))))
+    spread = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s["start"], s["start"] + s["size"] - 1))))
     gone = numbered.withColumn("_spread", F.when(F.col("_starts").isNotNull(), spread))
     gone = gone.withColumn("_gone", F.when(F.col("_spread").isNotNull(), F.transform(F.col("_spread"), lambda k: F.get("_lines", k)["i"])))
     kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")

@@ -111,6 +111,26 @@ def test_line_dedup(spark, run):
     assert line_dedup.remove_repeated_lines(df.limit(0), run).count() == 0
 
 
+def test_line_dedup_of_short_runs(spark):
+    long, pair = prose(9), "two words\nthree more words"
+    texts = [long, long + "\nown line", "ok", "ok", "ok\nown", "a\nb", "a\nb", pair + "\nx1", pair + "\nx2", *(f"Share\nonly {i}" for i in range(6)), None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df = df.union(df.where("doc_id = 4"))
+    got = {x["doc_id"]: x["text"] for x in line_dedup.remove_repeated_lines(df, words=5, often=6).collect()}
+    assert got == dict(enumerate([long, "own line", "ok", "", "ok\nown", "a\nb", "", pair + "\nx1", "x2", "Share\nonly 0", *(f"only {i}" for i in range(1, 6)), None, ""]))
+    few = {x["doc_id"]: x["text"] for x in line_dedup.remove_repeated_lines(df, words=5, often=7).collect()}
+    assert few[10] == "Share\nonly 1" and few[1] == "own line"
+    assert line_dedup.remove_repeated_lines(df.limit(0), words=5, often=6).count() == 0
+
+
+def test_pipeline_removes_repeated_single_lines(spark):
+    import corpus_pipeline as p
+
+    line = prose(40)
+    df = spark.createDataFrame([(1, line, "en", "s", len(line)), (2, line + "\nown", "en", "s", len(line) + 4)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {x["doc_id"]: (x["text"], x["n_chars"]) for x in p.line_dedup(spark, df, "").collect()} == {1: (line, len(line)), 2: ("own", 3)}
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_matches_sql(spark, name):
     ours, theirs = both(spark, queries.queries()[name], queries.oracle_sql()[name], "/root/testdata/sf0.001")
