@@ -1,12 +1,11 @@
-"""Licence scan by a positional index of rare template words.
+"""Licence scan by a positional index of template words.
 
-Templates are short licence notices. Their words' document frequencies are counted over all documents. In a file, the
-``RARE`` licence words of highest inverse frequency are looked up in the templates' postings; each meeting votes for a
-template and its place in the file, so only places where several rare words stand as in the template remain. There the
-whole template is laid against the file, its score is the share of its inverse-frequency weight that stands in place,
-and its label is given if the score is at least ``least`` and a mandatory key phrase stands inside. The words of the
-places found are then set aside and the next rarest are looked up, until no place is found: a file may hold any number
-of licences.
+Templates are short licence notices. Their words' document frequencies are counted over all documents. In a file, every
+licence word is looked up in the templates' postings; each meeting votes for a template and its place in the file, with
+the word's inverse frequency. The score of a place is the share of the template's weight that stands in place; places
+where two words or more do are kept, and the template's label is given if the score is at least ``least`` and a mandatory
+key phrase stands inside. Places are judged one by one on the full text, so a file may hold any number of licences, and
+stray licence words hide none.
 
 Beside it, given phrases are found wherever their words stand in turn, and give their labels in any case.
 
@@ -45,7 +44,6 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software released into the public domain"]),
     ("public-domain", "dedicated to the public domain under cc0 1 0 universal", ["cc0 1 0"]),
 ]
-RARE = 8
 LEAST = 0.6
 
 
@@ -95,35 +93,33 @@ def _frequencies(index: Index):
     return run
 
 
-def matches(index: Index, numbers: dict[int, int], n_words: int, least: float = LEAST) -> tuple[set[str], float]:
-    """Labels and the best score of one text. numbers: place -> number of its licence word."""
-    labels, best, left = set(), 0.0, dict(numbers)
-    while left:
-        rarest = sorted(set(left.values()), key=lambda x: (-index.weights[x], x))[:RARE]
-        chosen, votes = set(rarest), {}
-        for place, word in left.items():
-            if word in chosen:
-                for k in range(index.posting_bounds[word], index.posting_bounds[word + 1]):
-                    at = (int(index.posting_template[k]), place - int(index.posting_place[k]))
-                    votes[at] = votes.get(at, 0) + 1
-        used: set[int] = set()
-        for (t, start), n in votes.items():
-            label, template, keys = index.templates[t]
-            if n < 2:
-                continue
-            total = index.weights[template].sum()
-            in_place = [k for k, word in enumerate(template.tolist()) if left.get(start + k) == word]
-            score = float(index.weights[template[in_place]].sum() / total)
-            if score < least:
-                continue
-            span = range(max(0, start), min(n_words, start + len(template) + 2))
-            if any(all(numbers.get(s + i) == word for i, word in enumerate(key.tolist())) for key in keys for s in span if s + len(key) <= span.stop):
-                labels.add(label)
-                best = max(best, score)
-                used.update(start + k for k in in_place)
-        if not used:
-            break
-        left = {p: x for p, x in left.items() if p not in used}
+def matches(index: Index, w: Words, least: float = LEAST) -> tuple[list[set[str]], np.ndarray]:
+    """Labels and the best score of each text."""
+    rows = len(w.bounds) - 1
+    labels, best = [set() for _ in range(rows)], np.zeros(rows)
+    text, places, word = licence_words(index, w)
+    if not len(places):
+        return labels, best
+    number = np.full(len(w.hashes), -1)
+    number[places] = word
+    # each licence word votes for every template and start at which it would stand in place
+    many = (index.posting_bounds[1:] - index.posting_bounds[:-1])[word]
+    vote = np.repeat(np.arange(len(places)), many)
+    k = np.arange(len(vote)) - np.repeat(np.cumsum(many) - many, many) + index.posting_bounds[word][vote]
+    room = max(len(t) for _, t, _ in index.templates)  # keeps the starts of texts apart
+    start = places[vote] + (text[vote] + 1) * room - index.posting_place[k]
+    at, first, which, n = np.unique(start * len(index.templates) + index.posting_template[k], return_index=True, return_inverse=True, return_counts=True)
+    total = np.array([index.weights[t].sum() for _, t, _ in index.templates])
+    template, of = at % len(index.templates), text[vote[first]]
+    score = np.bincount(which, index.weights[word[vote]], len(at)) / total[template]
+    for c in np.flatnonzero((n >= 2) & (score >= least)).tolist():
+        label, words_of, keys = index.templates[template[c]]
+        i = int(of[c])
+        begin = int(at[c]) // len(index.templates) - (i + 1) * room
+        span = number[max(begin, int(w.bounds[i])) : min(begin + len(words_of) + 2, int(w.bounds[i + 1]))]
+        if any((span[s : s + len(key)] == key).all() for key in keys for s in range(len(span) - len(key) + 1)):
+            labels[i].add(label)
+            best[i] = max(best[i], score[c])
     return labels, best
 
 
@@ -153,14 +149,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
                         if p + size <= w.bounds[i + 1]:  # not over the end of a text
                             found[i].add(label)
                             places[i].append(int(p - w.bounds[i]))
-                text, at, word = licence_words(index, w)
-                edges = np.searchsorted(text, np.arange(rows + 1))
-                labels, scores = [], []
-                for i in range(rows):
-                    lo, hi = edges[i], edges[i + 1]
-                    own, score = matches(index, dict(zip((at[lo:hi] - w.bounds[i]).tolist(), word[lo:hi].tolist(), strict=True)), int(n_words[i])) if hi > lo + 1 else (set(), 0.0)
-                    labels.append(",".join(sorted(own | found[i])))
-                    scores.append(1.0 if found[i] else min(score, 1.0))
+                own, score = matches(index, w)
+                labels = [",".join(sorted(a | b)) for a, b in zip(own, found, strict=True)]
+                scores = [1.0 if f else min(x, 1.0) for f, x in zip(found, score.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id")[texts.lo : texts.hi], pa.array(n_words, pa.int64()), pa.array([len(p) for p in places], pa.int64()),
                     pa.array([min(p) if p else None for p in places], pa.int64()), pa.array([max(p) if p else None for p in places], pa.int64()),

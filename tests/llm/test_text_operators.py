@@ -97,6 +97,15 @@ def test_licences(docs, none, spark):
     assert license_scan.scan(docs).count() == len(TEXTS) and license_scan.scan(none).count() == 0
 
 
+def test_stray_licence_words_hide_no_notice(spark):
+    notice = "This work is licensed under the GNU General Public License, version 3."
+    stray = "mozilla x affero x lesser x domain x universal x redistribution x unencumbered x cc0 x binary x fee x charge x sa"
+    texts = [stray + " x " + notice + " x " + stray, "mozilla public x", *[notice] * 30, "Released under the", "MIT license"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    got = [x["labels"] for x in license_scan.scan(df).orderBy("doc_id").collect()]
+    assert got == ["gpl-3", "", *["gpl-3"] * 30, "", ""]
+
+
 def check_packing(rows, ids_of, window):
     by_doc, by_sequence = {}, {}
     for r in rows:
