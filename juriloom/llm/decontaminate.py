@@ -9,10 +9,13 @@ leaks an item if they cover ``share`` of it, or ``long_run`` words.
 The items' windows are sent to the workers as a filter while they are at most ``FILTER_WINDOWS``; beyond that all
 windows of documents go into the join. Either way the join decides.
 
+Windows are also joined by the hash of their own words in lower case, so a verbatim copy is found whatever its words are
+and however they are capitalised; the words that such windows cover count as they stand.
+
 Defined cases: null and empty texts and items match nothing; an item shorter than a window is one window of its own
-size, but items below ``least`` template words, or windows with fewer than ``literal`` words that are not slots, are not
-searched; rows that share id and text are one document; repeated items are each reported; empty tables give an empty
-result; further columns of any name are ignored.
+size; items below ``least`` template words, and windows with fewer than ``literal`` words that are not slots, are searched
+verbatim only (so an item of one word is found in every document with that word); rows that share id and text are one
+document; repeated items are each reported; empty tables give an empty result; further columns of any name are ignored.
 """
 from __future__ import annotations
 
@@ -29,6 +32,7 @@ from .words import U, Texts, hash_word, mix, slices, window_starts, windows, wor
 
 WINDOW = 8
 FILTER_WINDOWS = 2_000_000  # 16 MB
+VERBATIM = 64  # keeps hashes of words apart from those of template words
 # Units of measure that stand for one another in a template.
 UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg lb lbs pound pounds ounce ounces ton tons ml l litre litres liter liters gallon gallons s sec second seconds min minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents usd eur percent degrees celsius fahrenheit watt watts volt volts hz khz mhz".split()
 LETTERS = np.ones(256, bool)
@@ -39,11 +43,11 @@ NUMBER, NAME, UNIT = (hash_word(x) for x in ("<number>", "<name>", "<unit>"))
 UNIT_HASHES = np.sort(np.array([hash_word(x) for x in UNITS], U))
 
 
-def template(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template words, their own values (0 for words that are not slots), and bounds of texts."""
+def template(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template words, their own values (0 for words that are not slots), bounds of texts, and the words themselves."""
     w = words(texts, LETTERS, lower=True)
     if not len(w.hashes):
-        return w.hashes, w.hashes, w.bounds
+        return w.hashes, w.hashes, w.bounds, w.hashes
     count = lambda mask: np.concatenate([[0], np.cumsum(mask)])
     digits = count((texts.data >= 48) & (texts.data <= 57))
     ends = count(ENDS[texts.data])
@@ -56,33 +60,38 @@ def template(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     unit = UNIT_HASHES[np.minimum(np.searchsorted(UNIT_HASHES, w.hashes), len(UNIT_HASHES) - 1)] == w.hashes
     slot = number | name | unit
     kinds = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, w.hashes)))
-    return kinds, np.where(slot, w.hashes | U(1), U(0)), w.bounds
+    return kinds, np.where(slot, w.hashes | U(1), U(0)), w.bounds, w.hashes
 
 
-def found_windows(made: tuple[np.ndarray, np.ndarray, np.ndarray], size: int, literal: int, keep: np.ndarray | None) -> tuple[np.ndarray, ...]:
-    """Hash, text, place and slot values of the windows with enough literal words."""
-    kinds, values, bounds = made
+def found_windows(made: tuple[np.ndarray, ...], size: int, literal: int, keep: np.ndarray | None, verbatim: bool = False) -> tuple[np.ndarray, ...]:
+    """Hash, text, place and slot values of the windows with enough literal words, or of all by their own words."""
+    kinds, values, bounds, own_words = made
     at, text = window_starts(bounds, size)
-    h = mix(windows(kinds, size)[at], size).view(np.int64) if len(at) else np.zeros(0, np.int64)
+    h = mix(windows(own_words if verbatim else kinds, size)[at], size + VERBATIM * verbatim).view(np.int64) if len(at) else np.zeros(0, np.int64)
     if keep is not None:
         hit = keep[np.minimum(np.searchsorted(keep, h), len(keep) - 1)] == h if len(keep) else np.zeros(len(h), bool)
         at, text, h = at[hit], text[hit], h[hit]
+    if verbatim:
+        return h, text, at - bounds[text], np.zeros((len(h), 0), U)
     own = values[at[:, None] + np.arange(size)]
     good = (own == 0).sum(1) >= min(literal, size)
     return h[good], text[good], (at - bounds[text])[good], own[good]
 
 
-def _rows(sizes: list[int], literal: int, keep: np.ndarray | None, keys: list[str]):
-    """Rows (keys, h, place, slots) for the windows of each text, or for those whose hash is in the sorted ``keep``."""
+def _rows(sizes: list[int], literal: int, least: int, keep: np.ndarray | None, keys: list[str]):
+    """Rows (keys, h, place, slots) for the windows of each text, or for those whose hash is in the sorted ``keep``.
+
+    Verbatim windows have no slots.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in slices(batch.column("text"), 1 << 19):
                 made = template(texts)
-                for size in sizes:
-                    h, text, place, values = found_windows(made, size, literal, keep)
+                for size, verbatim in ((s, v) for s in sizes for v in (False, True) if v or s >= least):
+                    h, text, place, values = found_windows(made, size, literal, keep, verbatim)
                     row = pa.array(text + texts.lo)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1) * size, pa.int32()), pa.array(values.view(np.int64).ravel()))
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1) * values.shape[1], pa.int32()), pa.array(values.view(np.int64).ravel()))
                     yield pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in keys), pa.array(h), pa.array(place, pa.int64()), lists], names=[*keys, "h", "place", "slots"])
 
     return run
@@ -98,10 +107,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, long_run: i
     """(doc_id, text_hash, item_id, covered, item_words, changed_slots) for each document and item that it holds."""
     raw = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
     kind = raw.schema["item_id"].dataType.simpleString()
-    items = written(raw.mapInArrow(_lengths, f"item_id {kind}, text string, n_words long").where(F.col("n_words") >= least), "items")
-    windows_of = lambda df, size: df.mapInArrow(_rows([size], literal, None, ["item_id", "n_words"]), f"item_id {kind}, n_words long, h long, place long, slots array<long>")
+    items = written(raw.mapInArrow(_lengths, f"item_id {kind}, text string, n_words long").where(F.col("n_words") > 0), "items")
+    windows_of = lambda df, size: df.mapInArrow(_rows([size], literal, least, None, ["item_id", "n_words"]), f"item_id {kind}, n_words long, h long, place long, slots array<long>")
     index = windows_of(items.where(F.col("n_words") >= WINDOW), WINDOW)
-    for size in range(least, WINDOW):
+    for size in range(1, WINDOW):
         index = index.union(windows_of(items.where(F.col("n_words") == size), size))
     index = written(index.withColumnsRenamed({"place": "item_place", "slots": "item_slots"}), "item-windows")
     sizes = [WINDOW, *(r["n_words"] for r in items.where(F.col("n_words") < WINDOW).select("n_words").distinct().collect())]  # at most WINDOW numbers
@@ -110,7 +119,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, long_run: i
         keep = np.sort(index.select("h").distinct().toArrow().column("h").to_numpy())
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.xxhash64(F.col(text)), F.lit(0)).alias("text_hash"), F.col(text).alias("text"))
     doc_kind = picked.schema["doc_id"].dataType.simpleString()
-    hits = picked.mapInArrow(_rows(sizes, literal, keep, ["doc_id", "text_hash"]), f"doc_id {doc_kind}, text_hash long, h long, place long, slots array<long>")
+    hits = picked.mapInArrow(_rows(sizes, literal, least, keep, ["doc_id", "text_hash"]), f"doc_id {doc_kind}, text_hash long, h long, place long, slots array<long>")
     pairs = hits.join(index, "h").groupBy("doc_id", "text_hash", "item_id")
 
     def verify(table: pa.Table) -> pa.Table:
@@ -126,28 +135,33 @@ def _covered(places: list[int], item_places: list[int], slots: list[list[int]],
     """Words of the item covered by aligned windows, the longest run of them, slots with another value, words of the item.
 
     The windows are taken line by line: all with the same distance between document and item. Within one, the values of
-    the item's slots must go with one value each.
+    the item's slots must go with one value each, but where a verbatim window (one without slots) covers them.
     """
     lines: dict[int, dict[int, tuple[int, int]]] = {}
+    verbatim: dict[int, set[int]] = {}
     for p, q, own, theirs in zip(places, item_places, slots, item_slots, strict=True):
         line = lines.setdefault(p - q, {})
+        if not len(theirs):
+            verbatim.setdefault(p - q, set()).update(range(q, q + min(n, WINDOW)))
+            continue
         for k, pair in enumerate(zip(theirs, own, strict=True)):
             line[q + k] = pair
     union: set[int] = set()
     longest = changed = 0
-    for line in lines.values():
+    for apart, line in lines.items():
+        same = verbatim.get(apart, set())
         votes: dict[int, Counter] = {}
         for theirs, own in line.values():
             if theirs:
                 votes.setdefault(theirs, Counter())[own] += 1
         chosen = {theirs: min(c, key=lambda v: (-c[v], v)) for theirs, c in votes.items()}
-        good = sorted(q for q, (theirs, own) in line.items() if not theirs or chosen[theirs] == own)
+        good = sorted(same.union(q for q, (theirs, own) in line.items() if not theirs or chosen[theirs] == own))
         run = best = 0
         for i, q in enumerate(good):
             run = run + 1 if i and good[i - 1] == q - 1 else 1
             best = max(best, run)
         if best > longest:
-            longest, changed = best, sum(bool(theirs) and own != theirs for theirs, own in line.values())
+            longest, changed = best, sum(bool(theirs) and own != theirs for q, (theirs, own) in line.items() if q not in same)
         union.update(good)
     return len(union), longest, changed, n
 

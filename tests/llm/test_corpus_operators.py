@@ -159,6 +159,17 @@ def test_decontamination(spark):
         decontaminate.FILTER_WINDOWS = old
 
 
+@pytest.mark.parametrize("filtered", [True, False])
+def test_decontamination_finds_verbatim_copies_of_any_item(spark, filtered, monkeypatch):
+    if not filtered:
+        monkeypatch.setattr(decontaminate, "FILTER_WINDOWS", -1)
+    items = ["The Old Man And The Sea By Ernest Hemingway In Havana", "12 34 56 78 90 11 22 33 44 55", "WHO WROTE HAMLET FOR THE LONDON STAGE COMPANY", "Capital: Lisbon", "xylophone", "one Two Three Four Five six seven eight", None, " "]
+    docs = [*(f"and so {t} it goes" for t in items[:6]), items[0].lower(), "12 34 56 78 99 11 22 33 44 55", "nothing here", None, ""]
+    found = decontaminate.leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    got = {(x["doc_id"], x["item_id"]): (x["covered"], x["item_words"], x["changed_slots"]) for x in found.collect()}
+    assert got == {**{(i, i): (n, n, 0) for i, n in enumerate([11, 10, 8, 2, 1, 8])}, (6, 0): (11, 11, 0)}
+
+
 def test_inconsistent_slots_do_not_count():
     slots = [[0, 5, 0, 0, 5, 0, 0, 5]]
     covered, longest, *_ = decontaminate._covered([0], [0], [[0, 1, 0, 0, 2, 0, 0, 1]], slots, 8)
