@@ -70,56 +70,59 @@ def splits_at_white_space(path: str) -> bool:
 class WordIds:
     """Ids of texts by way of their distinct words, for tokenizers that split at white space; else of whole texts.
 
-    Words seen before in this worker are looked up by their hash among at most ``most`` words.
+    Words seen before in this worker are looked up by two hashes among what ``most`` bytes hold; where only one of the two
+    agrees, the texts at hand are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 3 << 20):
+    def __init__(self, path: str, most: int = 48 << 20):
         self.ids_of, self.by_word, self.most = load(path), splits_at_white_space(path), most
         self._forget()
 
-    def _ids_of_words(self, raw: bytes, w: Words, which: np.ndarray) -> list[list[int]]:
-        found = []
+    def _ids_of_texts(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(self.ids_of([texts.data[a:b].tobytes().decode()])[0], np.uint32) for a, b in zip(texts.offsets, texts.offsets[1:], strict=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.cumsum([0, *map(len, found)])
+
+    def _ids_of_words(self, raw: bytes, w: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some words and how many each has."""
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int32)]
         for lo in range(0, len(which), WORDS_AT_ONCE):
             part = which[lo : lo + WORDS_AT_ONCE]
-            found += self.ids_of([raw[a:b].decode() for a, b in zip(w.starts[part].tolist(), w.ends[part].tolist(), strict=True)])
-        return found
+            found = self.ids_of([raw[a:b].decode() for a, b in zip(w.starts[part].tolist(), w.ends[part].tolist(), strict=True)])
+            lengths.append(np.fromiter(map(len, found), np.int32, len(found)))
+            ids.append(np.fromiter((i for x in found for i in x), np.uint32, int(lengths[-1].sum())))
+        return np.concatenate(ids), np.concatenate(lengths)
 
     def _forget(self) -> None:
-        self.keys, self.lengths, self.firsts, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def _learn(self, keys: np.ndarray, found: list[list[int]]) -> None:
-        if len(self.keys) + len(keys) > self.most:
-            self._forget()
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        firsts = len(self.ids) + np.cumsum(lengths) - lengths
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))])
+        self.keys, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.lengths, self.firsts, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _learn(self, keys: np.ndarray, second: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        firsts = len(self.ids) + np.cumsum(lengths, dtype=np.int64) - lengths
+        self.ids = np.concatenate([self.ids, ids])
         at = np.searchsorted(self.keys, keys)
-        self.keys, self.lengths, self.firsts = np.insert(self.keys, at, keys), np.insert(self.lengths, at, lengths), np.insert(self.firsts, at, firsts)
+        for name, new in (("keys", keys), ("second", second), ("lengths", lengths), ("firsts", firsts)):
+            setattr(self, name, np.insert(getattr(self, name), at, new))
 
     def __call__(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids as uint32, and where those of each text begin and end."""
         if not self.by_word:
-            found = [ids for a, b in zip(texts.offsets, texts.offsets[1:], strict=False) for ids in self.ids_of([texts.data[a:b].tobytes().decode()])]
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            return np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum())), np.concatenate([[0], np.cumsum(lengths)])
-        w = words(texts)
+            return self._ids_of_texts(texts)
+        w = words(texts, second=True)
         keys, one, which = np.unique(w.hashes, return_index=True, return_inverse=True)
+        second = w.second[one]
         at = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
-        inside = at < len(self.keys)
+        inside = np.flatnonzero(at < len(self.keys))
         known[inside] = self.keys[at[inside]] == keys[inside]
+        if (second[which] != w.second).any() or (self.second[at[known]] != second[known]).any():
+            return self._ids_of_texts(texts)
         if not known.all():
-            raw, new = texts.data.tobytes(), one[~known]
-            found = self._ids_of_words(raw, w, new)
-            if len(self.keys) + len(new) > self.most:  # all words of this slice are needed below
-                found, new_keys = self._ids_of_words(raw, w, one), keys
+            if 28 * (len(self.keys) + len(keys)) + 4 * len(self.ids) > self.most:  # all words of these texts are needed below
                 self._forget()
-                self.most = max(self.most, len(keys))
-            else:
-                new_keys = keys[~known]
-            self._learn(new_keys, found)
+                known[:] = False
+            self._learn(keys[~known], second[~known], *self._ids_of_words(texts.data.tobytes(), w, one[~known]))
             at = np.searchsorted(self.keys, keys)
-        lengths, firsts = self.lengths[at][which], self.firsts[at][which]
+        lengths, firsts = self.lengths[at][which].astype(np.int64), self.firsts[at][which]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.arange(total) + np.repeat(firsts - (ends - lengths), lengths)]

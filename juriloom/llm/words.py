@@ -1,7 +1,8 @@
 """Words of many texts at once as 64-bit hashes, computed with numpy over Arrow buffers.
 
-A word's hash is a polynomial over its bytes taken from one running sum per slice, then mixed. Two different
-words share a hash with a chance of about 2**-64; nothing else in the engine depends on which words they are.
+A word's hash adds up its eight-byte pieces, each mixed with its place, and its length. Two different words share a hash
+with a chance of about 2**-64, whatever their pattern; where that is not enough, a second hash is taken from the bytes
+with other constants.
 """
 from __future__ import annotations
 
@@ -36,7 +37,8 @@ SPACE_DELIMITED = _separators((0x20, 0x20), (0x09, 0x0D))
 ALPHANUMERIC = _separators((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-BYTE_VALUES = mix(np.arange(256, dtype=U), 77)
+#: Masks of the first n bytes of a little-endian long.
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 
 
 class Powers:
@@ -55,7 +57,7 @@ class Powers:
         return self.up, self.down
 
 
-_BYTES, _WINDOWS = Powers(0x9E3779B97F4A7C15), (Powers(0xC2B2AE3D27D4EB4F), Powers(0xD6E8FEB86659FD93))
+_WINDOWS = (Powers(0xC2B2AE3D27D4EB4F), Powers(0xD6E8FEB86659FD93))
 
 
 class Texts(NamedTuple):
@@ -74,6 +76,7 @@ class Words(NamedTuple):
     bounds: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
+    second: np.ndarray | None = None
 
 
 def slices(column, most: int = SLICE_BYTES) -> Iterator[Texts]:
@@ -114,15 +117,31 @@ def spans(texts: Texts, of_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, texts.offsets)
 
 
-def words(texts: Texts, of_word: np.ndarray = SPACE_DELIMITED, lower: bool = False) -> Words:
-    starts, ends, bounds = spans(texts, of_word[LOWER] if lower else of_word)
-    up, down = _BYTES.upto(len(texts.data) + 1)
-    sums = np.zeros(len(texts.data) + 1, U)
-    values = BYTE_VALUES[LOWER] if lower else BYTE_VALUES
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds: tuple[int, ...]) -> list[np.ndarray]:
+    """One hash of data[starts:ends] for each seed."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    longs = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    sizes = ends - starts
+    head = longs[starts] & FIRST_BYTES[np.minimum(sizes, 8)]
+    more = np.flatnonzero(sizes > 8)
+    many = (sizes[more] - 1) // 8
+    begin = np.cumsum(many) - many
+    k = np.arange(many.sum()) - np.repeat(begin, many) + 1
+    rest = longs[np.repeat(starts[more], many) + 8 * k] & FIRST_BYTES[np.minimum(np.repeat(sizes[more], many) - 8 * k, 8)]
+    out = []
     with np.errstate(over="ignore"):
-        np.cumsum(values[texts.data] * up[: len(texts.data)], out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * down[starts])
-    return Words(hashes, bounds, starts, ends)
+        for seed in seeds:
+            h = mix(head, 3 * seed) + sizes.astype(U) * U(0x9FB21C651E98DF25)
+            if len(more):
+                h[more] += np.add.reduceat(mix(rest ^ mix(k.astype(U), 3 * seed + 1), 3 * seed + 2), begin)
+            out.append(mix(h, 3 * seed))
+    return out
+
+
+def words(texts: Texts, of_word: np.ndarray = SPACE_DELIMITED, lower: bool = False, second: bool = False) -> Words:
+    starts, ends, bounds = spans(texts, of_word[LOWER] if lower else of_word)
+    found = _hashes(LOWER[texts.data] if lower else texts.data, starts, ends, (0, 1) if second else (0,))
+    return Words(found[0], bounds, starts, ends, found[1] if second else None)
 
 
 def hash_word(word: str) -> np.uint64:
