@@ -3,6 +3,8 @@
 A cache row is (content_digest, version_digest, n_tokens). Texts are joined to it by the digest of their normalised
 content; only distinct texts without a row are encoded, and their rows are appended. The texts that miss are reduced
 to one for each digest before they are shuffled, so a text that a third of all rows share is sent once by each task.
+Digests that one row in ``HOT_SHARE`` has, at most ``HOT_SHARE`` of them, get their counts by broadcast, so that the
+join by digest deals no hot key.
 
 Defined cases: null and empty text count 0 tokens; repeated rows each get a row; an empty table gives an empty result;
 further columns of any name are ignored; cache rows written twice, as by two runs at once, count once.
@@ -16,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import fresh_path
+from .scratch import fresh_path, written
 from .tokenizers import folds_white_space, version_digest, vocabulary_path, word_ids
 from .words import slices
 
 CACHE_SCHEMA = "content_digest binary, version_digest string, n_tokens long"
+HOT_SHARE, HOT_LEAST = 1000, 100
 WHITE_SPACE = ("\t", "\n", "\x0b", "\f", "\r")
 
 
@@ -63,4 +66,13 @@ def count_tokens(docs: DataFrame, cache_path: str | None = None, tokenizer: str
     distinct = rows.groupBy("content_digest").agg(F.first("text").alias("text"))
     misses = distinct.join(read_cache(spark, cache_path, version), "content_digest", "left_anti")
     misses.select("content_digest", "text").mapInArrow(_encode(path, version), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    return rows.select("doc_id", "n_bytes", "content_digest").join(read_cache(spark, cache_path, version), "content_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    keyed = written(rows.select("doc_id", "n_bytes", "content_digest"), "digests")
+    counts = read_cache(spark, cache_path, version)
+    least = max(HOT_LEAST, -(-keyed.count() // HOT_SHARE))
+    hot = keyed.groupBy("content_digest").agg(F.count("*").alias("copies")).where(F.col("copies") >= least).select("content_digest")
+    hot = counts.join(F.broadcast(hot), "content_digest", "left_semi").select(F.col("content_digest").alias("_hot"), F.col("n_tokens").alias("n_hot"))
+    near = keyed.join(F.broadcast(hot), F.col("content_digest") == F.col("_hot"), "left")
+    # rows that have their count stay where they are: no digest equals the hash of an id
+    near = near.withColumn("_key", F.when(F.col("n_hot").isNull(), F.col("content_digest")).otherwise(F.unhex(F.hex(F.xxhash64("doc_id")))))
+    found = near.join(counts.select(F.col("content_digest").alias("_key"), F.col("n_tokens").alias("n_cold")).hint("merge"), "_key", "left")
+    return found.select("doc_id", "n_bytes", F.coalesce("n_hot", "n_cold").alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -39,6 +39,41 @@ def test_word_hashes():
     assert len(set(words(Texts(0, 1, np.array([0, len(raw)]), np.frombuffer(raw, np.uint8))).hashes.tolist())) == len(many)
 
 
+def thue_morse(n):
+    """Two words of n characters that no polynomial hash modulo a power of two tells apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [8, 9, 64, 1024, 4096])
+def test_word_hashes_of_regular_words(n):
+    one, other = thue_morse(n)
+    found = {one, other, one + "\0", one[:-1], "a" * n, "a" * (n + 8), one[8:] + one[:8]}
+    assert len({int(hash_word(x)) for x in found}) == len(found)
+
+
+def test_word_ids_of_regular_words_and_of_a_small_cache():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizers.vocabulary_path())
+    texts = ["\n".join(thue_morse(1024)), "a b", "", " ".join(f"v{i}" for i in range(3000)), "a v1 v2"]
+    for most in (1 << 30, 20_000, 0):
+        ids_of = tokenizers.WordIds(tokenizers.vocabulary_path(), most)
+        import pyarrow as pa
+
+        for column in (texts, texts[::-1]):
+            for t in slices(pa.array(column), 100):
+                ids, bounds = ids_of(t)
+                assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [plain.encode(x, add_special_tokens=False).ids for x in column[t.lo : t.hi]]
+
+
+def test_token_counts_of_hot_texts(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "HOT_LEAST", 3)
+    texts = ["same text here"] * 10 + [None] * 5 + ["", "own", "same\ttext here"]
+    got = token_counts.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["n_tokens"] for r in got] == [3] * 10 + [0] * 6 + [1, 3]
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
 def test_token_counts(spark, docs, none, tmp_path, name):
     path = tokenizers.vocabulary_path(name)
