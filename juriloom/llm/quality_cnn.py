@@ -2,8 +2,8 @@
 
 Bytes are embedded; filters of eight bytes slide by four over the whole text, so neighbours overlap and no byte is left
 out. The largest response of each filter is taken in each chunk of 256 bytes, the chunks' maxima are both averaged and
-maximised, and one logistic unit combines them. It is fitted on the driver by Adam on a bounded sample of labelled rows
-(``max_fit_rows`` rows, up to ``FIT_BYTES`` of each from four places); scores come from whole texts, slice by slice.
+maximised, and one logistic unit combines them. It is fitted on the driver by Adam on the whole texts of a bounded sample
+of labelled rows (``max_fit_rows``); scores come from whole texts, slice by slice. Both take long texts in parts.
 
 Defined cases: null and empty texts are scored as one chunk of zero bytes; repeated rows are each scored; without
 labelled rows every score is 0.5; with one label only, its share; an empty table gives an empty result. Labels that are
@@ -23,8 +23,7 @@ from .words import Texts, slices
 
 WIDTH, STRIDE, CHUNK = 8, 4, 64  # bytes, bytes, positions
 EMBEDDING, FILTERS = 8, 24
-FIT_CHUNKS = 12
-FIT_BYTES = 4096
+FIT_PART = 1024  # chunks of a batch that gradients are taken of at once
 PART = 1 << 20
 
 
@@ -84,7 +83,7 @@ def score_texts(net: Network, texts: Texts) -> np.ndarray:
 
 
 def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 14, batch: int = 32, seed: int = 1) -> Network:
-    """Adam on the logistic loss; each epoch sees other chunks of each text."""
+    """Adam on the logistic loss of whole texts."""
     labels = np.asarray(labels, np.float32)
     if not len(labels):
         return constant(0.5)
@@ -94,14 +93,13 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 14, batch: int = 3
     share = labels.mean()
     net = [rng.normal(0, 0.5, (256, EMBEDDING)).astype(np.float32), rng.normal(0, 0.15, (WIDTH * EMBEDDING, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32), np.array([np.log(share / (1 - share))], np.float32)]
     first, second = [np.zeros_like(p) for p in net], [np.zeros_like(p) for p in net]
-    span, step = CHUNK * STRIDE + WIDTH - STRIDE, 0
+    step = 0
     for epoch in range(epochs):
         rate = 0.01 * 0.5 * (1 + np.cos(np.pi * epoch / epochs)) + 3e-4
         order = rng.permutation(len(texts))
         for lo in range(0, len(order), batch):
             chosen = order[lo : lo + batch]
-            raw, counts = _chunks([texts[i] for i in chosen], span, rng)
-            grads = _gradients(net, raw, counts, labels[chosen])
+            grads = gradients(net, [texts[i] for i in chosen], labels[chosen])
             step += 1
             for p, m, v, g in zip(net, first, second, grads, strict=True):
                 m += 0.1 * (g - m)
@@ -110,44 +108,48 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 14, batch: int = 3
     return Network(net[0], net[1], net[2], net[3], float(net[4][0]))
 
 
-def _chunks(texts: list[bytes], span: int, rng) -> tuple[np.ndarray, np.ndarray]:
-    """Up to FIT_CHUNKS chunks of each text, at random places where it is longer."""
-    rows, counts, step = [], [], CHUNK * STRIDE
-    for t in texts:
-        n = max(1, -(-max(len(t) - (WIDTH - STRIDE), 1) // step))
-        picked = range(n) if n <= FIT_CHUNKS else np.sort(rng.choice(n, FIT_CHUNKS, replace=False))
-        rows += [t[k * step : k * step + span].ljust(span, b"\0") for k in picked]
-        counts.append(len(picked))
-    return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, span), np.array(counts)
+def _chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Views of all chunks of the texts, the last of each filled up with zeros, and how many each text has."""
+    step, over = CHUNK * STRIDE, WIDTH - STRIDE
+    counts = np.array([max(1, -(-max(len(t) - over, 1) // step)) for t in texts])
+    flat = np.frombuffer(b"".join(t[: n * step + over].ljust((n + 1) * step, b"\0") for t, n in zip(texts, counts.tolist(), strict=True)), np.uint8)
+    every = np.lib.stride_tricks.sliding_window_view(flat, step + over)[::step]
+    begin = np.cumsum(counts + 1) - counts - 1
+    return every[np.repeat(begin, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)], counts
 
 
-def _gradients(net: list[np.ndarray], raw: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
+def gradients(net: list[np.ndarray], texts: list[bytes], labels: np.ndarray) -> list[np.ndarray]:
+    """Gradients of the mean logistic loss by embedding, filters, bias, weights and offset.
+
+    A filter's response in a chunk depends on eight bytes alone, those at its maximum. So all that the gradients of
+    filters and embedding need is the summed error by byte, place in the filter, and filter.
+    """
     embedding, filters, bias, weights, offset = net
-    c, half = len(raw), STRIDE * EMBEDDING
-    x = embedding[raw].reshape(c, CHUNK + 1, half)
-    out = x[:, :-1] @ filters[:half] + x[:, 1:] @ filters[half:] + bias
-    best = out.argmax(1)
-    pooled = np.maximum(np.take_along_axis(out, best[:, None], 1)[:, 0], 0)
+    raw, counts = _chunks(texts)
+    half = STRIDE * EMBEDDING
+    best, pooled = [], []
+    for lo in range(0, len(raw), FIT_PART):
+        x = embedding[raw[lo : lo + FIT_PART]].reshape(-1, CHUNK + 1, half)
+        out = x[:, :-1] @ filters[:half]
+        out += x[:, 1:] @ filters[half:]
+        at = out.argmax(1)
+        best.append(at)
+        pooled.append(np.maximum(np.take_along_axis(out, at[:, None], 1)[:, 0] + bias, 0))
+    best, pooled = np.concatenate(best), np.concatenate(pooled)
     begin, doc = np.cumsum(counts) - counts, np.repeat(np.arange(len(counts)), counts)
     mean = np.add.reduceat(pooled, begin, axis=0) / counts[:, None]
     top = np.maximum.reduceat(pooled, begin, axis=0)
-    z = np.concatenate([mean, top], 1) @ weights + offset
-    error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / len(labels)
-    g_weights = np.concatenate([mean, top], 1).T @ error + 1e-5 * weights
+    features = np.concatenate([mean, top], 1).astype(np.float32)
+    error = ((1 / (1 + np.exp(-np.clip(features @ weights + offset, -30, 30))) - labels) / len(labels)).astype(np.float32)
     g_pooled = error[doc, None] * (weights[:FILTERS] / counts[doc, None] + weights[FILTERS:] * (pooled == top[doc])) * (pooled > 0)
-    g_filters, g_embedding = np.zeros_like(filters), np.zeros_like(embedding)
-    rows = np.arange(c)
-    flat = x.reshape(c, -1)
-    for k in range(FILTERS):
-        at = best[:, k, None] * half + np.arange(WIDTH * EMBEDDING)
-        window = flat[rows[:, None], at]
-        g = g_pooled[:, k]
-        g_filters[:, k] = window.T @ g
-        used = np.flatnonzero(g)
-        if len(used):
-            seen = raw[used[:, None], best[used, k, None] * STRIDE + np.arange(WIDTH)]
-            np.add.at(g_embedding, seen.ravel(), (g[used, None, None] * filters[:, k].reshape(WIDTH, EMBEDDING)).reshape(-1, EMBEDDING))
-    return [g_embedding, g_filters, g_pooled.sum(0), g_weights, np.array([error.sum()], np.float32)]
+    chunk, k = np.nonzero(g_pooled)
+    g, start = g_pooled[chunk, k], best[chunk, k] * STRIDE
+    g_filters, g_embedding = np.empty((WIDTH, EMBEDDING, FILTERS), np.float32), np.zeros_like(embedding)
+    for j in range(WIDTH):
+        by_byte = np.bincount(raw[chunk, start + j].astype(np.int64) * FILTERS + k, g, 256 * FILTERS).reshape(256, FILTERS).astype(np.float32)
+        g_filters[j] = embedding.T @ by_byte
+        g_embedding += by_byte @ filters.reshape(WIDTH, EMBEDDING, FILTERS)[j].T
+    return [g_embedding, g_filters.reshape(-1, FILTERS), g_pooled.sum(0).astype(np.float32), features.T @ error + 1e-5 * weights, np.array([error.sum()], np.float32)]
 
 
 def remainder(doc_id: Column, of: int) -> Column:
@@ -158,11 +160,9 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 4000, folds:
     """Fit on at most ``max_fit_rows`` labelled documents outside the held-out fold, chosen by a hash of their ids."""
     one = labels.select(F.col(doc_id).alias("of_id"), F.col(label).cast("int").alias("y")).where("y is not null and of_id is not null").where(remainder(F.col("of_id"), folds) != 0).groupBy("of_id").agg(F.max("y").alias("y"))
     chosen = one.orderBy(F.xxhash64("of_id"), "of_id").limit(max_fit_rows)
-    n, quarter = F.length("t"), FIT_BYTES // 4
-    pieces = F.when(n <= FIT_BYTES, F.col("t")).otherwise(F.concat(*[F.substring("t", (1 + F.floor((n - quarter) * k / 3)).cast("int"), F.lit(quarter)) for k in range(4)]))
-    found = docs.select(F.col(doc_id).alias("of_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen), "of_id").groupBy("of_id").agg(F.min(F.struct("y", pieces.alias("t"))).alias("r"))
-    rows = found.select("of_id", "r.y", "r.t").orderBy(F.xxhash64("of_id"), "of_id").limit(max_fit_rows).collect()  # at most max_fit_rows * FIT_BYTES characters
-    return fit([r["t"].encode() for r in rows], np.array([r["y"] for r in rows]))
+    found = docs.select(F.col(doc_id).alias("of_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen), "of_id").groupBy("of_id").agg(F.min(F.struct("y", "t")).alias("r"))
+    rows = found.select("of_id", "r.y", "r.t").orderBy(F.xxhash64("of_id"), "of_id").limit(max_fit_rows).toArrow()  # at most max_fit_rows texts
+    return fit([t.as_buffer().to_pybytes() for t in rows.column("t")], rows.column("y").to_numpy())
 
 
 def score(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -190,6 +190,33 @@ def test_plan_uses_the_histogram_and_pads_little():
     assert packing.make_plan(np.bincount([5], minlength=2049), 2048).sequences == 1
 
 
+def test_classifier_gradients():
+    r = np.random.default_rng(2)
+    q = quality_cnn
+    net = [r.normal(0, 0.5, (256, q.EMBEDDING)), r.normal(0, 0.3, (q.WIDTH * q.EMBEDDING, q.FILTERS)), r.normal(0, 0.1, q.FILTERS), r.normal(0, 0.3, 2 * q.FILTERS), np.array([0.1])]
+    texts, labels = [b"", b"abc", bytes(r.integers(32, 90, 256)), bytes(r.integers(32, 90, 900))], np.array([0, 1, 1, 0], np.float32)
+
+    def loss():
+        net32 = q.Network(*(p.astype(np.float32) for p in net[:4]), float(net[4][0]))
+        scores = np.concatenate([q.score_texts(net32, Texts(0, 1, np.array([0, len(t)]), np.frombuffer(t, np.uint8))) for t in texts])
+        return -np.mean(labels * np.log(scores) + (1 - labels) * np.log(1 - scores))
+
+    q_part, q.FIT_PART = q.FIT_PART, 2
+    try:
+        found = q.gradients([p.astype(np.float32) for p in net], texts, labels)
+    finally:
+        q.FIT_PART = q_part
+    for p, g in zip(net, found, strict=True):
+        for at in np.argsort(-np.abs(g).ravel())[:3]:
+            i, was = np.unravel_index(at, p.shape), p.ravel()[at]
+            ends = []
+            for move in (1e-3, -1e-3):
+                p[i] = was + move
+                ends.append(loss())
+            p[i] = was
+            assert (ends[0] - ends[1]) / 2e-3 == pytest.approx(g[i], rel=0.05, abs=1e-4)
+
+
 def test_classifier_learns_and_scores_whole_texts(spark):
     r = random.Random(5)
     word = lambda: "".join(r.choices("aeiorstnl", k=r.randrange(2, 8)))
