@@ -108,14 +108,17 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 14, batch: int = 3
     return Network(net[0], net[1], net[2], net[3], float(net[4][0]))
 
 
-def _chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Views of all chunks of the texts, the last of each filled up with zeros, and how many each text has."""
+def _chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All chunks of the texts, the last of each filled up with zeros, how many each text has, and positions of each chunk."""
     step, over = CHUNK * STRIDE, WIDTH - STRIDE
-    counts = np.array([max(1, -(-max(len(t) - over, 1) // step)) for t in texts])
+    positions = np.array([max(1, -(-(len(t) - over) // STRIDE)) for t in texts])
+    counts = -(-positions // CHUNK)
+    sizes = np.full(counts.sum(), CHUNK)
+    sizes[np.cumsum(counts) - 1] = positions - CHUNK * (counts - 1)
     flat = np.frombuffer(b"".join(t[: n * step + over].ljust((n + 1) * step, b"\0") for t, n in zip(texts, counts.tolist(), strict=True)), np.uint8)
     every = np.lib.stride_tricks.sliding_window_view(flat, step + over)[::step]
     begin = np.cumsum(counts + 1) - counts - 1
-    return every[np.repeat(begin, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)], counts
+    return every[np.repeat(begin, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)], counts, sizes
 
 
 def gradients(net: list[np.ndarray], texts: list[bytes], labels: np.ndarray) -> list[np.ndarray]:
@@ -125,13 +128,14 @@ def gradients(net: list[np.ndarray], texts: list[bytes], labels: np.ndarray) ->
     filters and embedding need is the summed error by byte, place in the filter, and filter.
     """
     embedding, filters, bias, weights, offset = net
-    raw, counts = _chunks(texts)
+    raw, counts, sizes = _chunks(texts)
     half = STRIDE * EMBEDDING
     best, pooled = [], []
     for lo in range(0, len(raw), FIT_PART):
         x = embedding[raw[lo : lo + FIT_PART]].reshape(-1, CHUNK + 1, half)
         out = x[:, :-1] @ filters[:half]
         out += x[:, 1:] @ filters[half:]
+        out[np.arange(CHUNK) >= sizes[lo : lo + FIT_PART, None]] = -np.inf
         at = out.argmax(1)
         best.append(at)
         pooled.append(np.maximum(np.take_along_axis(out, at[:, None], 1)[:, 0] + bias, 0))
@@ -141,7 +145,8 @@ def gradients(net: list[np.ndarray], texts: list[bytes], labels: np.ndarray) ->
     top = np.maximum.reduceat(pooled, begin, axis=0)
     features = np.concatenate([mean, top], 1).astype(np.float32)
     error = ((1 / (1 + np.exp(-np.clip(features @ weights + offset, -30, 30))) - labels) / len(labels)).astype(np.float32)
-    g_pooled = error[doc, None] * (weights[:FILTERS] / counts[doc, None] + weights[FILTERS:] * (pooled == top[doc])) * (pooled > 0)
+    is_top = pooled == top[doc]  # chunks that tie share the gradient of the maximum
+    g_pooled = error[doc, None] * (weights[:FILTERS] / counts[doc, None] + weights[FILTERS:] * is_top / np.add.reduceat(is_top, begin, axis=0, dtype=np.float32)[doc]) * (pooled > 0)
     chunk, k = np.nonzero(g_pooled)
     g, start = g_pooled[chunk, k], best[chunk, k] * STRIDE
     g_filters, g_embedding = np.empty((WIDTH, EMBEDDING, FILTERS), np.float32), np.zeros_like(embedding)
