@@ -4,10 +4,11 @@ Counting. Each task counts the pairs of its texts and sends them to shards; a pa
 by the first word and its column by the second, so neither a common first nor a common second word meets in one shard.
 A shard adds the counts up, writes its pairs as one sorted array of 64-bit hashes with their counts, and sends on, for
 each word in it, how its pairs are counted as first word and how many there are as second. Those meet by word and make
-the sorted array of the vocabulary. Only counts of counts, a few numbers for each shard, reach the driver.
+the sorted arrays of the vocabulary, one file for each range of hashes. Only sums of counts of counts reach the driver,
+and a model is a folder and a dozen numbers.
 
-Scoring. Workers map the arrays from the shared folder into memory and look up the distinct words and pairs of some
-texts at a time. One sign stands for the begin and the end of a text; it is counted as a token once for each text.
+Scoring. Workers map a shard's file from the shared folder into memory when they first need it, keep a bounded number
+of them mapped, and look up the distinct words and pairs of some texts at a time. One sign stands for the begin and the end of a text; it is counted as a token once for each text.
 
 With discounts D of the pair counts, p(w|u) = max(c(u,w) - D(c(u,w)), 0) / c(u) + g(u) p(w), and with discounts E of
 the numbers n(w) of different words before w, p(w) = max(n(w) - E(n(w)), 0) / n + g' / (V + 1), where g(u) and g' are
@@ -20,7 +21,7 @@ name are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log2, sqrt
+from math import ceil, sqrt
 from typing import NamedTuple
 
 import numpy as np
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import mapped, save, smallest
+from .arrays import Maps, save, smallest
 from .scratch import block_count, fresh_path, written
 from .words import U, Texts, mix, pack, pack_sorted, slices, unpack, unpack_sorted, words
 
@@ -37,17 +38,10 @@ SLICE = 4 << 20
 TOKENS_AT_ONCE = 4 << 20
 
 
-class Shard(NamedTuple):
-    n: int
-    kinds: tuple[str, ...]
-
-
 class Model(NamedTuple):
     folder: str
-    side: int
-    parts: int
-    pairs: dict[int, Shard]
-    vocabulary: dict[int, Shard]
+    side: int  # rows and columns of the grid of shards
+    parts: int  # files of the vocabulary
     discounts: tuple[float, float, float]
     lower_discounts: tuple[float, float, float]
     lower_rest: float  # g'
@@ -81,6 +75,15 @@ def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
         return mix(mix(u, 3) * U(0x9FB21C651E98DF25) + mix(w, 5), 7)
 
 
+def cell(u: np.ndarray, w: np.ndarray, side: int) -> np.ndarray:
+    return (u & U(0xFFFFFFFF)) % U(side) * U(side) + (w & U(0xFFFFFFFF)) % U(side)
+
+
+def part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    """The range that a hash lies in, among so many equal ones."""
+    return (key >> U(32)) * U(parts) >> U(32)
+
+
 def added(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sorted distinct keys, and the sums of each column by key."""
     order = np.argsort(keys, kind="stable")
@@ -109,9 +112,8 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 def train(docs: DataFrame, text: str = "text") -> Model:
     """Count all rows of ``docs`` and leave the model in the shared folder."""
     blocks = block_count(docs, text=text)
-    side = 1 << max(3, ceil(log2(max(sqrt(blocks) / 2, 1))))
-    parts = side * side
-    shift = U(64 - int(log2(parts)))
+    side = max(4, ceil(0.75 * sqrt(blocks)))
+    shards, parts = side * side, 4 * side
     folder = fresh_path(docs.sparkSession, "pairs-model")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,16 +132,16 @@ def train(docs: DataFrame, text: str = "text") -> Model:
 
     def sent(u: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
         _, u, w, n = counted(u, w, np.ones(len(u), np.int64))
-        shard = (u & U(side - 1)) * U(side) + (w & U(side - 1))
+        shard = cell(u, w, side)
         order = np.lexsort((u, shard))
         u, w, n, shard = u[order], w[order], n[order], shard[order]
-        edges = np.searchsorted(shard, np.arange(parts + 1, dtype=U))
-        used = [k for k in range(parts) if edges[k + 1] > edges[k]]
+        edges = np.searchsorted(shard, np.arange(shards + 1, dtype=U))
+        used = [k for k in range(shards) if edges[k + 1] > edges[k]]
         cut = [slice(edges[k], edges[k + 1]) for k in used]
         return pa.RecordBatch.from_pydict({"shard": pa.array(used, pa.int32()), "u": pa.array([pack_sorted(u[c]) for c in cut], pa.binary()), "w": pa.array([pack(w[c]) for c in cut], pa.binary()), "n": pa.array([pack(n[c]) for c in cut], pa.binary())})
 
-    names = ["shard", "part", "size", "kinds", "n1", "n2", "n3", "n4", "u", "sums", "ones", "twos", "more", "w", "befores"]
-    kinds = "shard int, part int, size long, kinds string, n1 long, n2 long, n3 long, n4 long, u binary, sums binary, ones binary, twos binary, more binary, w binary, befores binary"
+    names = ["shard", "part", "size", "n1", "n2", "n3", "n4", "u", "sums", "ones", "twos", "more", "w", "befores"]
+    kinds = "shard int, part int, size long, n1 long, n2 long, n3 long, n4 long, u binary, sums binary, ones binary, twos binary, more binary, w binary, befores binary"
 
     def add_up(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
@@ -147,27 +149,26 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         w = np.concatenate([unpack(b, U) for b in table.column("w").to_pylist()])
         n = np.concatenate([unpack(b, np.int64) for b in table.column("n").to_pylist()])
         key, u, w, n = counted(u, w, n)
-        small = smallest(n)
-        save(f"{folder}/pairs-{shard}.keys", key)
-        save(f"{folder}/pairs-{shard}.counts", small)
+        save(f"{folder}/pairs-{shard}", key, smallest(n))
         one = np.ones(len(n), np.int64)
         firsts = added(u, n, *((n == k) * one for k in (1, 2)), (n > 2) * one)
         seconds = added(w, one)
-        rows = [(shard, -1, len(n), small.dtype.str, *(int((n == k).sum()) for k in (1, 2, 3, 4)), *[None] * 7)]
-        e = np.searchsorted(firsts[0] >> shift, np.arange(parts + 1, dtype=U))
-        f = np.searchsorted(seconds[0] >> shift, np.arange(parts + 1, dtype=U))
+        rows = [(shard, -1, len(n), *(int((n == k).sum()) for k in (1, 2, 3, 4)), *[None] * 7)]
+        e = np.searchsorted(part_of(firsts[0], parts), np.arange(parts + 1, dtype=U))
+        f = np.searchsorted(part_of(seconds[0], parts), np.arange(parts + 1, dtype=U))
         for p in range(parts):
             if e[p + 1] > e[p] or f[p + 1] > f[p]:
                 a, b = slice(e[p], e[p + 1]), slice(f[p], f[p + 1])
-                rows.append((shard, p, None, None, *[None] * 4, pack_sorted(firsts[0][a]), *(pack(x[a]) for x in firsts[1:]), pack_sorted(seconds[0][b]), pack(seconds[1][b])))
+                rows.append((shard, p, None, *[None] * 4, pack_sorted(firsts[0][a]), *(pack(x[a]) for x in firsts[1:]), pack_sorted(seconds[0][b]), pack(seconds[1][b])))
         columns = list(zip(*rows, strict=True))
-        types = [pa.int32(), pa.int32(), pa.int64(), pa.string(), *[pa.int64()] * 4, *[pa.binary()] * 7]
+        types = [pa.int32(), pa.int32(), pa.int64(), *[pa.int64()] * 4, *[pa.binary()] * 7]
         return pa.table({c: pa.array(v, t) for c, v, t in zip(names, columns, types, strict=True)})
 
     pairs = docs.select(F.col(text).alias("text")).mapInArrow(count, "shard int, u binary, w binary, n binary").groupBy("shard").applyInArrow(add_up, kinds)
     pairs = written(pairs, "pairs")
-    shards = pairs.where("part = -1").select("shard", "size", "kinds", "n1", "n2", "n3", "n4").collect()  # one for each shard
-    d = discounts([sum(r[f"n{k}"] for r in shards) for k in (1, 2, 3, 4)])
+    totals = lambda df, *names: df.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
+    found = totals(pairs.where("part = -1"), "size", "n1", "n2", "n3", "n4")
+    n_pairs, d = found["size"], discounts([found[f"n{k}"] for k in (1, 2, 3, 4)])
 
     def vocabulary(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
@@ -177,41 +178,32 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         firsts = [np.concatenate([joined(c, np.int64), zeros]) for c in ("sums", "ones", "twos", "more")]
         key, total, n1, n2, n3, befores = added(np.concatenate([u, w]), *firsts, np.concatenate([np.zeros(len(u), np.int64), joined("befores", np.int64)]))
         rest = ((d[0] * n1 + d[1] * n2 + d[2] * n3) / np.maximum(total, 1)).astype(np.float32)
-        stored = [smallest(total), smallest(befores), rest]
-        save(f"{folder}/words-{part}.keys", key)
-        for name, x in zip(("totals", "befores", "rests"), stored, strict=True):
-            save(f"{folder}/words-{part}.{name}", x)
-        row = [part, len(key), ",".join(x.dtype.str for x in stored), int(total.sum()), *(int((befores == k).sum()) for k in (1, 2, 3, 4))]
-        return pa.table({c: pa.array([v], t) for c, v, t in zip(("part", "size", "kinds", "tokens", "n1", "n2", "n3", "n4"), row, (pa.int32(), pa.int64(), pa.string(), *[pa.int64()] * 5), strict=True)})
-
-    found = pairs.where("part >= 0").groupBy("part").applyInArrow(vocabulary, "part int, size long, kinds string, tokens long, n1 long, n2 long, n3 long, n4 long").collect()  # one for each part
-    n_pairs, n_words = sum(r["size"] for r in shards), sum(r["size"] for r in found)
-    n1, n2, n3, n4 = (sum(r[f"n{k}"] for r in found) for k in (1, 2, 3, 4))
-    e = discounts([n1, n2, n3, n4])
+        save(f"{folder}/words-{part}", key, smallest(total), smallest(befores), rest)
+        row = [len(key), int(total.sum()), *(int((befores == k).sum()) for k in (1, 2, 3, 4))]
+        return pa.table({c: pa.array([v], pa.int64()) for c, v in zip(("size", "tokens", "n1", "n2", "n3", "n4"), row, strict=True)})
+
+    words_of = pairs.where("part >= 0").groupBy("part").applyInArrow(vocabulary, "size long, tokens long, n1 long, n2 long, n3 long, n4 long")
+    found = totals(words_of, "size", "tokens", "n1", "n2", "n3", "n4")
+    n_words, n1, n2 = found["size"], found["n1"], found["n2"]
+    e = discounts([found[f"n{k}"] for k in (1, 2, 3, 4)])
     taken = e[0] * n1 + e[1] * n2 + e[2] * (n_words - n1 - n2)
-    return Model(
-        folder, side, parts, {r["shard"]: Shard(r["size"], (r["kinds"],)) for r in shards}, {r["part"]: Shard(r["size"], tuple(r["kinds"].split(","))) for r in found},
-        d, e, taken / n_pairs if n_pairs else 1.0, n_pairs, n_words, sum(r["tokens"] for r in found),
-    )
+    return Model(folder, side, parts, d, e, taken / n_pairs if n_pairs else 1.0, n_pairs, n_words, found["tokens"])
 
 
 class Reader:
     """Look-ups in a model's mapped arrays; what is missing is 0."""
 
     def __init__(self, model: Model):
-        self.model = model
-        at = lambda name, i, kind, n: mapped(f"{model.folder}/{name.format(i)}", kind, n)
-        self.pairs = {i: (at("pairs-{}.keys", i, "<u8", s.n), at("pairs-{}.counts", i, s.kinds[0], s.n)) for i, s in model.pairs.items()}
-        self.words = {i: tuple(at("words-{}." + c, i, k, s.n) for c, k in zip(("keys", "totals", "befores", "rests"), ("<u8", *s.kinds), strict=True)) for i, s in model.vocabulary.items()}
-
-    @staticmethod
-    def _find(arrays: dict, which: np.ndarray, keys: np.ndarray, columns: int) -> list[np.ndarray]:
-        """which: the array of each key; keys are sorted within each."""
+        self.model, self.maps = model, Maps(model.folder)
+
+    def _find(self, name: str, which: np.ndarray, keys: np.ndarray, columns: int) -> list[np.ndarray]:
+        """which: the number of the file of each key; keys are sorted within each."""
         out = [np.zeros(len(keys)) for _ in range(columns)]
         used, first = np.unique(which, return_index=True)
         for i, lo, hi in zip(used.tolist(), first, np.append(first[1:], len(which)), strict=True):
-            if i in arrays and len(arrays[i][0]):
-                own, values = arrays[i][0], arrays[i][1:]
+            arrays = self.maps[f"{name}-{i}"]
+            if arrays and len(arrays[0]):
+                own, values = arrays[0], arrays[1:]
                 at = np.minimum(np.searchsorted(own, keys[lo:hi]), len(own) - 1)
                 hit = own[at] == keys[lo:hi]
                 for o, v in zip(out, values, strict=True):
@@ -220,14 +212,13 @@ class Reader:
 
     def of_words(self, keys: np.ndarray) -> list[np.ndarray]:
         """Of sorted keys: count, number of words before, rest."""
-        return self._find(self.words, (keys >> U(64 - int(log2(self.model.parts)))).astype(np.int64), keys, 3)
+        return self._find("words", part_of(keys, self.model.parts), keys, 3)
 
     def of_pairs(self, keys: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-        side = U(self.model.side - 1)
-        shard = ((u & side) * U(self.model.side) + (w & side)).astype(np.int64)
+        shard = cell(u, w, self.model.side)
         order = np.lexsort((keys, shard))
         out = np.empty(len(keys))
-        out[order] = self._find(self.pairs, shard[order], keys[order], 1)[0]
+        out[order] = self._find("pairs", shard[order], keys[order], 1)[0]
         return out
 
 

@@ -3,6 +3,7 @@ import hashlib
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from juriloom.llm import components, decontaminate, line_dedup, minhash_dedup, ngram_lm, queries, substring_dedup
@@ -188,6 +189,27 @@ def test_language_model(docs):
     assert sum(kn.p(w, "w1") for w in kn.count) + kn.p("@", "w1") == pytest.approx(1)
 
 
+def test_language_model_of_many_shards(docs, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "block_count", lambda *_, **__: 30_000)
+    model = ngram_lm.train(docs)
+    assert model.side**2 > 16_384
+    reader = ngram_lm.Reader(model)
+    reader.maps.most = 64
+    (t,) = ngram_lm.slices(pa.array(["w1 w2 w1 w2", None, BASE]), 1 << 20)
+    kn = brute.KneserNey(TEXTS)
+    assert ngram_lm.score_texts(reader, t)[3].tolist() == pytest.approx([kn.score(x) for x in ("w1 w2 w1 w2", None, BASE)], rel=1e-5)
+    assert len(reader.maps.held) <= 64
+
+
+def test_language_model_of_repeated_rows(spark):
+    texts = ["a b a b c", "a b a b c", None, "", "c"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 3, "doc_id long, text string")
+    kept = [t for i, t in enumerate(texts) for _ in range(3) if zlib.crc32(str(i).encode()) % 7 != 2]
+    kn = brute.KneserNey(kept)
+    got = ngram_lm.score_held_out(df).collect()
+    assert sorted((x["doc_id"], round(x["score"], 5)) for x in got) == sorted((i, round(kn.score(t), 5)) for i, t in enumerate(texts) for _ in range(3))
+
+
 def test_language_model_without_training_text(docs):
     model = ngram_lm.train(docs.limit(0))
     got = ngram_lm.score(docs.where("doc_id < 5"), model).collect()
