@@ -35,7 +35,7 @@ from .words import U, Texts, mix, pack, pack_sorted, slices, unpack, unpack_sort
 
 END = U(0x243F6A8885A308D3)
 SLICE = 4 << 20
-TOKENS_AT_ONCE = 4 << 20
+TOKENS_AT_ONCE = 3 << 20
 
 
 class Model(NamedTuple):

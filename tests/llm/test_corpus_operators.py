@@ -45,6 +45,31 @@ def test_substring_dedup(docs):
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_substring_dedup_of_many_blocks_and_false_estimates(docs, monkeypatch):
+    want = {d: v[1] for d, v in brute.substring(list(enumerate(TEXTS)), 50).items()}
+    monkeypatch.setattr(substring_dedup, "CELLS", -2)  # four windows for each counter
+    found = substring_dedup.remove_repeats(docs, block_bytes=4096, range_windows=1000)
+    assert {x["doc_id"]: x["n_removed"] for x in found.collect()} == want
+
+
+def thue_morse(n, a, b):
+    return [(a, b)[bin(i).count("1") % 2] for i in range(n)]
+
+
+def test_regular_words_and_windows_are_told_apart(spark):
+    one, other = "".join(thue_morse(1024, "a", "b")), "".join(thue_morse(1024, "b", "a"))
+    frame = prose(49)
+    texts = [f"{one} {frame}", f"{other} {frame}", f"{one} {frame}", " ".join(thue_morse(64, "x", "y")), " ".join(thue_morse(64, "y", "x"))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["n_removed"] for x in substring_dedup.remove_repeats(df).collect()}
+    assert got == {d: v[1] for d, v in brute.substring(list(enumerate(texts)), 50).items()}
+    linked = {x["doc_id"]: x["component_id"] for x in minhash_dedup.near_duplicates(spark.createDataFrame([(0, one), (1, other), (2, one)], "doc_id long, text string")).collect()}
+    assert linked == {0: 0, 1: 1, 2: 0}
+    kn = brute.KneserNey(texts)
+    model = ngram_lm.train(df)
+    assert (model.n_words, model.n_pairs) == (kn.v, len(kn.pairs))
+
+
 def test_substring_dedup_null_and_repeated_ids(spark):
     rows = [(1, PASSAGE), (1, PASSAGE), (None, PASSAGE), (0, "x")]
     got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
