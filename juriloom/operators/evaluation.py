@@ -1,6 +1,6 @@
 """Retrieval-quality metrics of samples against their contexts, as joins and aggregates.
 
-samples: sample_id, gold, answer and the expected doc_number, law_type, year, article, clause.
+samples: sample_id, gold, answer and the expected doc_number, law_type, year, article, clause, point.
 contexts: sample_id, rank, text and the same columns of the node that each context comes from.
 """
 from __future__ import annotations
@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from juriloom.functions.text import norm_key, tokens
+from juriloom.lineage import cut
 
 # Weights of the expected fields, and words that carry no content.
-WEIGHTS = {"doc_number": 0.40, "law_type": 0.10, "year": 0.10, "article": 0.20, "clause": 0.15}
+WEIGHTS = {"doc_number": 0.40, "law_type": 0.10, "year": 0.10, "article": 0.20, "clause": 0.15, "point": 0.05}
 STOPWORDS = "và của các những trong cho về theo là có được phải này đó với một hoặc để tại".split()
 
 
@@ -75,8 +76,8 @@ def citation_support(samples: DataFrame, contexts: DataFrame) -> DataFrame:
     """Share of the references in the answer that a context's metadata has; 0.5 where the answer has none."""
     cite = lambda pattern, label: F.transform(F.regexp_extract_all(norm_key("answer"), F.lit(pattern), 1), lambda n: F.concat(F.lit(label), n))
     number = F.transform(F.regexp_extract_all(F.upper("answer"), F.lit(r"(?U)\b(\d{1,4}/\d{4}/[A-ZĐ\-]+)"), 1), lambda n: F.lower(_number_key(n)))
-    refs = samples.select("sample_id", F.explode(F.array_distinct(F.concat(number, cite(r"điều\s+(\d+)", "điều "), cite(r"khoản\s+(\d+)", "khoản ")))).alias("ref"))
-    known = contexts.select("sample_id", F.explode(F.array(F.lower(_number_key(F.col("doc_number"))), F.lower("article"), F.lower("clause"))).alias("ref")).where("ref is not null").distinct().withColumn("ok", F.lit(1))
+    refs = samples.select("sample_id", F.explode(F.array_distinct(F.concat(number, cite(r"điều\s+(\d+)", "điều "), cite(r"khoản\s+(\d+)", "khoản "), cite(r"(?<!quan )điểm\s+([a-zđ])(?=\s|[,.;:)\]]|$)", "điểm ")))).alias("ref"))
+    known = contexts.select("sample_id", F.explode(F.array(F.lower(_number_key(F.col("doc_number"))), F.lower("article"), F.lower("clause"), F.lower("point"))).alias("ref")).where("ref is not null").distinct().withColumn("ok", F.lit(1))
     share = refs.join(known, ["sample_id", "ref"], "left").groupBy("sample_id").agg((F.count("ok") / F.count("*")).alias("share"))
     return samples.select("sample_id").join(share, "sample_id", "left").select("sample_id", F.round(F.coalesce("share", F.lit(0.5)), 6).alias("citation_support"))
 
@@ -89,6 +90,15 @@ def report(metrics: DataFrame, names: list[str], worst: int = 5) -> tuple[DataFr
     return means, lowest
 
 
+def numbered(df: DataFrame, key: str, parts: int = 64) -> DataFrame:
+    """The rows with ``no``, their place by ``key`` from 1; rows are dealt out by ranges, whose sizes alone are added up in one task."""
+    dealt = cut(df.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").count()
+    before = sizes.withColumn("_before", F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    return dealt.withColumn("no", place).join(F.broadcast(before), "_part").withColumn("no", F.col("no") + F.col("_before")).drop("_part", "_before")
+
+
 def validate(samples: DataFrame, required: list[str]) -> DataFrame:
     """(sample_id, field, problem) for required fields that are missing, empty or still placeholders."""
     rows = samples.select("sample_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.trim(F.col(f).cast("string")).alias("v")) for f in required])).alias("x")).select("sample_id", "x.*")

@@ -1,6 +1,6 @@
 """The provision tree as a table of nodes with parent ids: closure, relations, expansions, references, previews.
 
-nodes: node_id, doc_id, node_type, label, text, parent_id, order_index, level, article, clause, path_title and the
+nodes: node_id, doc_id, node_type, label, text, parent_id, order_index, level, article, clause, point, path_title and the
 document's columns. ``order_index`` orders the nodes of a document, so (doc_id, order_index) is a total order.
 """
 from __future__ import annotations
@@ -101,20 +101,21 @@ def sibling_window(nodes: DataFrame, chosen: DataFrame, width: int = 2, cap: int
 
 
 def cross_references(nodes: DataFrame) -> DataFrame:
-    """(node_id, doc_id, ref_no, target_article, target_clause) of each reference in a text, 'khoản a Điều b' as one."""
-    pair = r"(?iu)(?:khoản\s+(\d+)\s+)?điều\s+(\d+)"
-    found = F.arrays_zip(F.regexp_extract_all("text", F.lit(pair), 1).alias("c"), F.regexp_extract_all("text", F.lit(pair), 2).alias("a"))
-    rows = nodes.where("node_type = 'clause'").select("node_id", "doc_id", F.posexplode(found).alias("ref_no", "r"))
-    return rows.select("node_id", "doc_id", "ref_no", F.concat(F.lit("Điều "), F.col("r.a")).alias("target_article"), F.when(F.col("r.c") != "", F.concat(F.lit("Khoản "), F.col("r.c"))).alias("target_clause"))
+    """(node_id, doc_id, ref_no, target_article, target_clause, target_point) of each reference in a text, 'điểm a khoản b Điều c' as one."""
+    chain = r"(?iu)(?:(?:điểm\s+([a-zđ])\s+)?khoản\s+(\d+)\s+)?điều\s+(\d+)"
+    found = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(chain), i).alias(c) for i, c in ((1, "p"), (2, "c"), (3, "a"))])
+    rows = nodes.where("node_type in ('clause', 'point')").select("node_id", "doc_id", F.posexplode(found).alias("ref_no", "r"))
+    named = lambda label, c: F.when(F.col(f"r.{c}") != "", F.concat(F.lit(label), F.lower(f"r.{c}")))
+    return rows.select("node_id", "doc_id", "ref_no", named("Điều ", "a").alias("target_article"), named("Khoản ", "c").alias("target_clause"), named("Điểm ", "p").alias("target_point"))
 
 
 def resolve_references(nodes: DataFrame, references: DataFrame) -> DataFrame:
     """The best node of the same document for each reference: most parts given, then the last in order."""
-    targets = nodes.where("article is not null").select("doc_id", F.col("article").alias("target_article"), "clause", F.col("node_id").alias("target_id"), "order_index")
-    fits = references.join(targets, ["doc_id", "target_article"]).where("target_clause is null and clause is null or clause = target_clause or (target_clause is not null and clause is null)")
-    exact = F.when(F.col("clause").eqNullSafe(F.col("target_clause")), 1).otherwise(0)
+    targets = nodes.where("article is not null").select("doc_id", F.col("article").alias("target_article"), "clause", "point", F.col("node_id").alias("target_id"), "order_index")
+    fits = references.join(targets, ["doc_id", "target_article"]).where("(clause is null or clause = target_clause) and (point is null or point = target_point)")
+    exact = F.when(F.col("clause") == F.col("target_clause"), 1).otherwise(0) + F.when(F.col("point") == F.col("target_point"), 1).otherwise(0)
     best = Window.partitionBy("node_id", "ref_no").orderBy(F.desc(exact), F.desc("order_index"))
-    return fits.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("node_id", "ref_no", "target_article", "target_clause", "target_id")
+    return fits.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("node_id", "ref_no", "target_article", "target_clause", "target_point", "target_id")
 
 
 def promote_to_ancestor(nodes: DataFrame, hits: DataFrame, bonus: float = 0.4) -> DataFrame:

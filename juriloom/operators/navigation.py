@@ -1,46 +1,159 @@
 """Walking the tree for many questions at once, and what is shown to answer them."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from juriloom.functions.text import ascii_key, norm_key, tokens
+from juriloom.functions.text import ascii_key, norm_key, norm_space, tokens
 from juriloom.lineage import cut
+from juriloom.operators import graph, retrieval
+
+MAX_HOPS, EVIDENCE, JUDGED, KEEP = 3, 4, 4, 12
+# Relations by action, the action that an answer's source asks for, and nodes that are parts of a list.
+RELATIONS = {"deepen_node": "child", "fetch_siblings": "sibling", "fetch_parent_summary": "parent"}
+SOURCE_ACTIONS = {"children": "deepen_node", "siblings": "fetch_siblings", "parent": "fetch_parent_summary"}
+LIST_PARTS = ["point", "decimal_item", "list_item", "bullet"]
+#: Below this confidence, a decision gives way to a relation of the nodes.
+CONFIDENCE = 0.6
+
+
+def node_facts(nodes: DataFrame) -> DataFrame:
+    """The nodes with n_children, n_siblings and header_only."""
+    counted = graph.with_counts(nodes)
+    return counted.withColumn("header_only", (F.col("n_children") > 0) & F.contains(graph.compact("path_title"), graph.compact("text")))
+
+
+def adjusted(decision: str = "decision", source: str = "answer_source", confidence: str = "confidence", header_only: str = "header_only", leaf: str = "leaf", n_family: str = "n_family", n_children: str = "n_children", has_parent: str = "has_parent", judged: str = "judged") -> Column:
+    """(action, reason) of a decision about selected nodes.
 
-MAX_HOPS, EVIDENCE, KEEP = 3, 4, 12
+    A model's unsure decision goes to the siblings of a leaf, else to children, else to the parent; an answer from children,
+    siblings or the parent fetches those; an answer from nodes that only head others goes on to their children.
+    """
+    relation = F.when(F.col(leaf) & (F.col(n_family) > 1), "fetch_siblings").when(F.col(n_children) > 0, "deepen_node").when(F.col(has_parent), "fetch_parent_summary")
+    unsure = F.col(judged) & (F.col(confidence) < CONFIDENCE) & relation.isNotNull() & (relation != F.col(decision))
+    action = F.when(unsure, relation).otherwise(F.col(decision))
+    asks = F.coalesce(*[F.when(F.col(source) == k, v) for k, v in SOURCE_ACTIONS.items()])
+    needs = (action == "answer_now") & asks.isNotNull()
+    heads = (action == "answer_now") & (F.col(source) == "own_text") & F.col(header_only)
+    reason = F.when(needs, "answer_source_requires_relation").when(heads, "header_only_node_needs_children").when(unsure, "low_confidence_graph_relation").otherwise("")
+    return F.struct(F.when(needs, asks).when(heads, "deepen_node").otherwise(action).alias("action"), reason.alias("reason"))
 
 
-def navigate(profiles: DataFrame, nodes: DataFrame, start: DataFrame, max_hops: int = MAX_HOPS, keep: int = KEEP) -> DataFrame:
-    """(question_id, node_id, rank, hops, action) where each question ends. start: (question_id, node_id, rank).
+def relation_ids(selected: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(question_id, action, node_id, doc_id, order_index): all children, families or parents of the selected (question_id, action, node_id), each once.
 
-    A question whose first candidate has children goes on to them if it names an article alone or nothing; else it is
-    answered. Each hop is one set of joins for all questions that go on, and is written before the next, so that a plan
-    never holds the hops before it twice; the loop ends early where no question goes on.
+    A node without children is taken for the one with its path in the same document that has some.
+    """
+    own = nodes.select("node_id", "parent_id", "doc_id", "path_title")
+    picked = selected.select("question_id", "action", "node_id").join(own, "node_id")
+    kids = nodes.where("parent_id is not null").select(F.col("parent_id").alias("at"), F.col("node_id").alias("related"))
+    bearing = kids.select("at").distinct()
+    twins = own.join(bearing, F.col("node_id") == F.col("at")).where("path_title <> ''").groupBy("doc_id", "path_title").agg(F.min("node_id").alias("twin"))
+    deepen = picked.where("action = 'deepen_node'").join(bearing, F.col("node_id") == F.col("at"), "left").join(twins, ["doc_id", "path_title"], "left").withColumn("of", F.when(F.col("at").isNotNull(), F.col("node_id")).otherwise(F.col("twin"))).drop("at")
+    down = deepen.join(kids, F.col("of") == F.col("at")).select("question_id", "action", "related")
+    beside = picked.where("action = 'fetch_siblings'").join(kids, F.col("parent_id") == F.col("at")).select("question_id", "action", "related")
+    up = picked.where("action = 'fetch_parent_summary' and parent_id is not null").select("question_id", "action", F.col("parent_id").alias("related"))
+    related = down.unionByName(beside).unionByName(up).distinct()
+    return related.join(nodes.select(F.col("node_id").alias("related"), "doc_id", "order_index"), "related").select("question_id", "action", F.col("related").alias("node_id"), "doc_id", "order_index")
+
+
+def navigate(profiles: DataFrame, nodes: DataFrame, start: DataFrame, text: str = "question", max_hops: int = MAX_HOPS, keep: int = KEEP, rerank: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Where each question ends, and the relation that it went by last. start: (question_id, node_id, rank).
+
+    The first frame is (question_id, node_id, rank, hops, action); the second (question_id, action, node_id, place), all nodes
+    of the last relation in order. A question whose first candidate has children goes on to them if it names an article
+    alone, or no provision, and so does one whose chosen nodes only head others; else it is answered. What a hop finds is
+    ranked by BM25, then by ``rerank`` where there is one. Each hop is one set of joins for all questions that go on,
+    written before the next, so that a plan never holds the hops before it twice; the loop ends where none goes on.
     """
-    kids = nodes.where("parent_id is not null").select(F.col("parent_id").alias("at"), F.col("node_id").alias("kid"), "order_index")
-    bearing = kids.select("at").distinct().withColumn("bears", F.lit(True))
-    may = profiles.select("question_id", F.col("clause").isNull().alias("may"))
-    state, done = cut(start.select("question_id", "node_id", "rank", F.lit(0).alias("hops"))), None
+    facts = cut(node_facts(nodes).select("node_id", "node_type", "order_index", "doc_id", "parent_id", "path_title", "text", "n_children", "header_only"))
+    asked = cut(profiles.select("question_id", F.col(text).alias("q"), (F.col("clause").isNull() & F.col("point").isNull()).alias("may")))
+    state, done, went = cut(start.select("question_id", "node_id", "rank", F.lit(0).alias("hops"))), [], []
     for hop in range(max_hops + 1):
-        first = state.where("rank = 1").join(may, "question_id").join(bearing, F.col("node_id") == F.col("at"), "left")
-        onward = cut(first.where(F.col("may") & F.coalesce("bears", F.lit(False))).select("question_id", F.col("node_id").alias("from")))
+        seen = state.where(F.col("rank") <= max(EVIDENCE, JUDGED)).join(asked.select("question_id", "may"), "question_id").join(facts.select("node_id", "node_type", "order_index", "n_children", "header_only"), "node_id")
+        top = seen.where("rank = 1").select("question_id", (F.col("may") & (F.col("n_children") > 0)).alias("deepens"), F.col("node_type").isin(LIST_PARTS).alias("in_list"))
+        judged = seen.join(top, "question_id")
+        whole = Window.partitionBy("question_id")
+        bears = F.col("n_children") > 0
+        placed = judged.withColumn("heads", F.max(F.col("header_only") & (F.col("rank") <= EVIDENCE)).over(whole)).withColumn("place", F.row_number().over(whole.orderBy(F.desc(bears & (F.col("rank") <= JUDGED)), "order_index", "rank")))
+        chosen = F.when(F.col("deepens") & F.col("in_list"), bears & (F.col("rank") <= JUDGED) & (F.col("place") <= EVIDENCE)).when(F.col("deepens"), F.col("rank") == 1).otherwise(F.col("heads") & (F.col("rank") <= EVIDENCE))
+        onward = cut(placed.where(chosen).select("question_id", "node_id", F.lit("deepen_node").alias("action")))
         last = hop == max_hops or onward.isEmpty()
         if last:
             onward = onward.limit(0)
-        ended = state.join(onward.select("question_id"), "question_id", "left_anti").withColumn("action", F.lit("answer"))
-        done = ended if done is None else done.unionByName(ended)
+        ended = state.join(onward.select("question_id").distinct(), "question_id", "left_anti").withColumn("action", F.lit("answer"))
+        done.append(ended)
         if last:
             break
-        below = onward.join(kids, F.col("from") == F.col("at"))
-        order = Window.partitionBy("question_id").orderBy("order_index", "kid")
-        state = cut(below.select("question_id", F.col("kid").alias("node_id"), F.row_number().over(order).alias("rank"), F.lit(hop + 1).alias("hops")).where(F.col("rank") <= keep))
-    return done
-
-
-def evidence(walked: DataFrame, nodes: DataFrame, most: int = EVIDENCE, snippet: int = 700) -> DataFrame:
-    """The first nodes that each question ended at, with their texts; the first is primary."""
-    first = walked.where(F.col("rank") <= most)
-    return first.join(nodes.select("node_id", "text", "path_title"), "node_id").select("question_id", "node_id", "rank", "hops", F.when(F.col("rank") == 1, "primary").otherwise("supporting").alias("role"), F.substring("text", 1, snippet).alias("snippet"))
+        found = cut(relation_ids(onward, nodes).withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy("doc_id", "order_index", "node_id"))))
+        went.append(found.select("question_id", "action", "node_id", "place", F.lit(hop).alias("hop")))
+        pairs = found.where(F.col("place") <= max(2 * keep, 12)).select("question_id", "node_id", "place").join(asked, "question_id").join(facts.select("node_id", "node_type", "path_title", "text"), "node_id")
+        score = F.round(retrieval.summary_score(F.col("q"), F.col("path_title"), F.col("text"), F.col("node_type")), 6)
+        order = [F.desc("score"), F.col("place")] if rerank is None else [F.desc(rerank(F.col("q"), F.col("text"))), F.desc("score"), F.col("place")]
+        state = cut(pairs.withColumn("score", score).withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(*order))).where(F.col("rank") <= keep).select("question_id", "node_id", "rank", F.lit(hop + 1).alias("hops")))
+    walked = done[0]
+    for more in done[1:]:
+        walked = walked.unionByName(more)
+    if not went:
+        return walked, state.select("question_id", F.lit("").alias("action"), "node_id", F.col("rank").alias("place")).limit(0)
+    relations = went[0]
+    for more in went[1:]:
+        relations = relations.unionByName(more)
+    latest = relations.groupBy("question_id").agg(F.max("hop").alias("hop"))
+    return walked, relations.join(latest, ["question_id", "hop"]).drop("hop")
+
+
+def heading_text() -> Column:
+    """Path and text of a node, each said once."""
+    path, own = norm_space("path_title"), norm_space("text")
+    return F.array_join(F.filter(F.array(path, F.when(ascii_key(own) == ascii_key(path), "").otherwise(own)), lambda x: x != ""), "\n")
+
+
+def evidence_by_source(selected: DataFrame, nodes: DataFrame, source: str, limit: int = EVIDENCE) -> DataFrame:
+    """(question_id, node_id, place, answer_source, text) for selected (question_id, node_id, rank).
+
+    own_text: the first ``limit`` of them; title_or_heading: their headings; parent_heading: their topmost ancestors'
+    headings; children, siblings, parent: all nodes of that relation. What has no text is left out.
+    """
+    if source in SOURCE_ACTIONS:
+        found = relation_ids(selected.withColumn("action", F.lit(SOURCE_ACTIONS[source])), nodes).withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy("doc_id", "order_index", "node_id")))
+        rows, said = found.select("question_id", "node_id", "place"), norm_space("text")
+    elif source == "parent_heading":
+        up = graph.closure(nodes).where("distance > 0").join(nodes.where(heading_text() != "").select(F.col("node_id").alias("ancestor")), "ancestor")
+        top = up.groupBy("node_id").agg(F.max_by("ancestor", "distance").alias("top"))
+        found = selected.join(top, "node_id").select("question_id", F.col("top").alias("node_id")).distinct().join(nodes.select("node_id", "order_index", "doc_id"), "node_id")
+        rows, said = found.withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy("order_index", "doc_id"))).select("question_id", "node_id", "place"), heading_text()
+    else:
+        rows, said = selected.select("question_id", "node_id", F.col("rank").alias("place")), heading_text() if source == "title_or_heading" else norm_space("text")
+    out = rows.join(nodes.select("node_id", "text", "path_title"), "node_id").withColumn("said", said).where("said <> ''")
+    if source == "own_text":
+        out = out.withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy("place"))).where(F.col("place") <= limit)
+    return out.select("question_id", "node_id", "place", F.lit(source).alias("answer_source"), F.col("said").alias("text"))
+
+
+def evidence(walked: DataFrame, relations: DataFrame, scopes: DataFrame, nodes: DataFrame, most: int = EVIDENCE, snippet: int = 700) -> DataFrame:
+    """(question_id, node_id, place, hops, role, answer_source, snippet) by the scope (question_id, scope) of each question.
+
+    A list is answered from the whole relation that the question went by last, if there is one. Else the nodes where it
+    ended are primary: two of them for exact answers and definitions, ``most`` for others; and for summaries, comparisons
+    and procedures what is left up to ``most`` is filled from the relation.
+    """
+    ended = walked.join(scopes, "question_id")
+    by = relations.where("action in ('deepen_node', 'fetch_siblings')").join(scopes.where("scope = 'list'"), "question_id")
+    lists = by.select("question_id", "node_id", "place", F.lit("primary").alias("role"), F.when(F.col("action") == "deepen_node", "children").otherwise("siblings").alias("answer_source"))
+    limit = F.when(F.col("scope").isin("exact", "definition"), min(most, 2)).otherwise(most)
+    own = ended.join(lists.select("question_id").distinct(), "question_id", "left_anti").where(F.col("rank") <= limit)
+    primary = own.select("question_id", "node_id", F.col("rank").alias("place"), F.lit("primary").alias("role"), F.lit("own_text").alias("answer_source"))
+    wide = scopes.where(F.col("scope").isin("summary", "comparison", "procedure")).select("question_id")
+    room = primary.join(wide, "question_id").groupBy("question_id").agg(F.max("place").alias("used"))
+    extra = relations.join(room, "question_id").join(primary.select("question_id", "node_id"), ["question_id", "node_id"], "left_anti")
+    extra = extra.withColumn("k", F.row_number().over(Window.partitionBy("question_id").orderBy("place"))).where(F.col("k") + F.col("used") <= most)
+    support = extra.select("question_id", "node_id", (F.col("k") + F.col("used")).cast("int").alias("place"), F.lit("supporting").alias("role"), F.lit("supporting_relation").alias("answer_source"))
+    hops = walked.groupBy("question_id").agg(F.max("hops").alias("hops"))
+    every = lists.unionByName(primary).unionByName(support).join(hops, "question_id").join(nodes.select("node_id", "text"), "node_id")
+    return every.select("question_id", "node_id", "place", "hops", "role", "answer_source", F.substring("text", 1, snippet).alias("snippet"))
 
 
 def infer_documents(questions: DataFrame, titles: DataFrame, least_hits: int = 5, least_share: float = 0.45, text: str = "question") -> DataFrame:

@@ -1,17 +1,22 @@
 """Candidates for questions: the filter ladder, direct targets, scoring, documents, margin, evidence, grading, citations."""
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from juriloom.functions.text import norm_key, phrase_overlap, tokens, topic_phrases
+from juriloom.functions.text import ascii_key, norm_key, phrase_overlap, tokens, topic_phrases
 
 # Levels of the ladder, the strictest first; kind and year go with the levels without a document.
-LADDER = [("doc_number_article_clause", ["doc_number", "article", "clause"]), ("doc_number_article", ["doc_number", "article"]), ("doc_number", ["doc_number"]), ("article_clause", ["law_type", "year", "article", "clause"]), ("article", ["law_type", "year", "article"]), ("law_type_year", ["law_type", "year"])]
-#: Keys that a level must name for it to be one of its own.
-OWN = {"doc_number_article_clause": ["doc_number", "clause"], "doc_number_article": ["doc_number", "article"], "doc_number": ["doc_number"], "article_clause": ["clause"], "article": ["article"]}
+LADDER = [
+    ("doc_number_article_clause_point", ["doc_number", "article", "clause", "point"]), ("doc_number_article_clause", ["doc_number", "article", "clause"]), ("doc_number_article", ["doc_number", "article"]), ("doc_number", ["doc_number"]),
+    ("article_clause_point", ["law_type", "year", "article", "clause", "point"]), ("article_clause", ["law_type", "year", "article", "clause"]), ("article", ["law_type", "year", "article"]), ("law_type_year", ["law_type", "year"]),
+]
+FILTERS = ["doc_number", "law_type", "year", "article", "clause", "point"]
+# Kinds of nodes that a question about a whole document begins with.
+HEADING_TYPES = ["article", "section", "appendix", "attachment", "roman_section", "alpha_section"]
 
 
 def doc_number_key(x: Column | str) -> Column:
@@ -19,72 +24,105 @@ def doc_number_key(x: Column | str) -> Column:
     return F.regexp_replace(F.translate(F.upper(F.trim(x)), "Đ", "D"), "^0+(?=[0-9])", "")
 
 
-def _same(key: str) -> Column:
-    asked, there = F.col(f"q_{key}"), F.col(key)
-    if key == "doc_number":
-        return doc_number_key(asked) == doc_number_key(there)
-    if key == "year":
-        return asked == there
-    return F.lower(asked) == F.lower(there)
+def _key(keys: Column) -> Column:
+    """One text for the values that ``keys``, an array of names of filters, selects, with the names."""
+    value = lambda k: doc_number_key(k) if k == "doc_number" else F.lower(F.col(k).cast("string"))
+    return F.concat_ws("\u0001", F.array_join(keys, ","), *[F.when(F.array_contains(keys, k), value(k)) for k in FILTERS])
+
+
+def _named(keys: list[str]) -> Column:
+    """Those of the filters that are given, as an array of names."""
+    return F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.lit(k)) for k in keys]))
+
+
+def _sets(asked: DataFrame) -> list[list[str]]:
+    """The sets of filters that occur in questions: some dozens at most, however many questions there are."""
+    return [r["keys"] for r in asked.select("keys").distinct().collect()]
+
+
+def _keyed(nodes: DataFrame, sets: list[list[str]], *columns: str) -> DataFrame:
+    """Rows (columns, key) of nodes, one for each of the sets of filters whose values a node has."""
+    each = [F.when(F.size(_named(keys)) == len(keys), _key(F.array(*map(F.lit, keys)))) for keys in sets]
+    return nodes.select(*columns, F.explode(F.array_compact(F.array(*each, F.lit(None).cast("string")))).alias("key"))
+
+
+def levels(profiles: DataFrame, groups: Callable[[list[list[str]]], DataFrame]) -> DataFrame:
+    """(question_id, level, key): the first level of each question whose key a node has.
+
+    A level's key holds the values of those of its filters that a question names. groups(sets) gives the distinct keys
+    of the nodes for those sets of filters. Levels that come down to the same filters go by the first one's name.
+    """
+    each = [F.struct(F.lit(no).alias("level_no"), F.lit(name).alias("level"), _named(keys).alias("keys")) for no, (name, keys) in enumerate(LADDER)]
+    usable = F.filter(F.array(*each), lambda x: (F.size(x["keys"]) > 0) & ((x["level_no"] > 3) | F.col("doc_number").isNotNull()))
+    asked = profiles.select("question_id", *FILTERS, F.explode(usable).alias("x")).select("question_id", *FILTERS, "x.*")
+    asked = asked.select("question_id", "level_no", "level", "keys", _key(F.col("keys")).alias("key"))
+    met = asked.drop("keys").join(groups(_sets(asked)).select("key"), "key")
+    return met.groupBy("question_id").agg(F.min(F.struct("level_no", "level", "key")).alias("x")).select("question_id", "x.level", "x.key")
 
 
 def ladder(profiles: DataFrame, nodes: DataFrame) -> DataFrame:
     """For each question, the nodes of the strictest level of filters that any node meets, with that level's name.
 
-    A level, with those of its keys that a question names, is one of a few patterns. Nodes carry a key for each pattern,
-    questions one for each of their levels, and one hash join on it replaces a scan for each level. A question without
+    Levels are chosen by the nodes' distinct keys; nodes are joined for the chosen level alone. A question without
     filters, or that no level fits, has no rows here: it searches all nodes.
     """
-    keys = ["doc_number", "article", "clause", "law_type", "year"]
-    patterns = [(no, name, named, [k for k in level if k not in named]) for no, (name, level) in enumerate(LADDER) for rest in _subsets([k for k in level if k not in OWN.get(name, [])]) if (named := [*OWN.get(name, []), *rest])]
-    asked = profiles.select(
-        "question_id",
-        F.explode(F.array_compact(F.array(*[
-            F.when(_all([F.col(k).isNotNull() for k in named] + [F.col(k).isNull() for k in unnamed]), F.struct(F.lit(no).alias("level_no"), F.lit(name).alias("level"), _pattern_key(i, named).alias("key")))
-            for i, (no, name, named, unnamed) in enumerate(patterns)
-        ]))).alias("x"),
-    ).select("question_id", "x.*")
-    rows = nodes.select("node_id", "doc_id", "order_index", *keys).select("node_id", "doc_id", "order_index", F.explode(F.array_compact(F.array(*[F.when(_all([F.col(k).isNotNull() for k in named]), _pattern_key(i, named)) for i, (_, _, named, _) in enumerate(patterns)]))).alias("key"))
-    every = asked.join(rows, "key").select("question_id", "node_id", "doc_id", "order_index", "level_no", "level")
-    best = every.groupBy("question_id").agg(F.min("level_no").alias("level_no"))
-    return every.join(best, ["question_id", "level_no"]).drop("level_no")
+    found: dict[str, list[list[str]]] = {}
 
+    def groups(sets: list[list[str]]) -> DataFrame:
+        found["sets"] = sets
+        return _keyed(nodes, sets).distinct()
 
-def _all(flags: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, flags, F.lit(True))
+    chosen = levels(profiles, groups)
+    return chosen.join(_keyed(nodes, found["sets"], "node_id", "doc_id", "order_index"), "key").drop("key")
 
 
-def _pattern_key(pattern: int, named: list[str]) -> Column:
-    return F.concat_ws("\u0001", F.lit(str(pattern)), *[doc_number_key(k) if k == "doc_number" else F.lower(F.col(k).cast("string")) for k in named])
+def ladder_counts(profiles: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(question_id, level, n_nodes, first_id, last_id): the same, with nodes counted by key before they meet questions."""
+    found: dict[str, DataFrame] = {}
 
+    def groups(sets: list[list[str]]) -> DataFrame:
+        found["counts"] = _keyed(nodes, sets, "node_id").groupBy("key").agg(F.count("*").alias("n_nodes"), F.min("node_id").alias("first_id"), F.max("node_id").alias("last_id"))
+        return found["counts"]
 
-def _subsets(items: list[str]) -> list[list[str]]:
-    return [[]] if not items else [x for rest in _subsets(items[1:]) for x in (rest, [items[0], *rest])]
+    chosen = levels(profiles, groups)
+    return chosen.join(found["counts"], "key").drop("key")
 
 
-def direct_targets(profiles: DataFrame, nodes: DataFrame, most: int = 8) -> DataFrame:
-    """Nodes of exactly the kind that is asked for, meeting every filter; none where several fit and no document is named."""
-    kind = F.when(F.col("q_clause").isNotNull(), "clause").when(F.col("q_article").isNotNull(), "article")
-    keys = ["doc_number", "article", "clause", "law_type", "year"]
-    asked = profiles.select("question_id", *[F.col(k).alias(f"q_{k}") for k in keys]).withColumn("kind", kind).where("kind is not null and q_article is not null")
-    rows = nodes.select("node_id", "node_type", "order_index", "doc_id", *keys)
-    meets = lambda k: F.col(f"q_{k}").isNull() | F.coalesce(_same(k), F.lit(False))
-    found = asked.join(rows, (F.col("kind") == F.col("node_type")) & (F.col("q_article") == F.col("article"))).where(meets("clause") & meets("doc_number") & meets("law_type") & meets("year"))
-    named = F.col("q_doc_number").isNotNull() | F.col("q_law_type").isNotNull() | F.col("q_year").isNotNull()
-    group = Window.partitionBy("question_id")
-    counted = found.withColumn("n", F.count("*").over(group)).where((F.col("n") == 1) | named)
-    return counted.withColumn("rank", F.row_number().over(group.orderBy("order_index", "doc_id"))).where(F.col("rank") <= most).select("question_id", "node_id", "rank")
+def direct_targets(profiles: DataFrame, nodes: DataFrame, most: int = 8, headings: int = 12) -> DataFrame:
+    """(question_id, node_id, rank): nodes of exactly the kind that is asked for, meeting every filter.
+
+    None where several fit and no document, kind or year is named. A question that names a document alone gets its first
+    headings. All nodes with one set of values have one key; they are counted and ranked by key, so questions meet
+    ``most`` rows each.
+    """
+    kind = F.when(F.col("point").isNotNull(), "point").when(F.col("clause").isNotNull(), "clause").when(F.col("article").isNotNull(), "article").when(F.col("doc_number").isNotNull(), "")
+    asked = profiles.select("question_id", *FILTERS, kind.alias("kind"), _named(FILTERS).alias("keys")).where("kind is not null")
+    # the kind follows from the filters, but that a document alone may go with its kind and year and asks for headings
+    asked = asked.withColumn("keys", F.when(F.col("kind") == "", F.array(F.lit("doc_number"))).otherwise(F.col("keys"))).select("question_id", "kind", "keys", _key(F.col("keys")).alias("key"))
+    sets, parts = _sets(asked), []
+    for of_kind, chosen in (("point", [k for k in sets if "point" in k]), ("clause", [k for k in sets if "clause" in k and "point" not in k]), ("article", [k for k in sets if "article" in k and not {"clause", "point"} & set(k)]), ("", [k for k in sets if k == ["doc_number"]])):
+        if chosen:
+            rows = nodes.where(F.col("node_type") == of_kind) if of_kind else nodes.where(F.col("node_type").isin(HEADING_TYPES))
+            parts.append(_keyed(rows, chosen, "node_id", "doc_id", "order_index").withColumn("kind", F.lit(of_kind)).withColumn("vague", ~F.col("key").rlike("^[^\u0001]*(doc_number|law_type|year)")))
+    if not parts:
+        return asked.select("question_id", F.lit(None).cast("string").alias("node_id"), F.lit(1).alias("rank")).limit(0)
+    keyed = reduce(DataFrame.unionByName, parts)
+    place = F.row_number().over(Window.partitionBy("kind", "key").orderBy("order_index", "doc_id"))
+    first = keyed.withColumn("rank", place).where(F.col("rank") <= max(most, headings)).where(F.col("rank") <= F.when(F.col("kind") == "", headings).otherwise(most))
+    several = keyed.where("vague").groupBy("kind", "key").count().where("count > 1").select("kind", "key")
+    first = first.join(several, ["kind", "key"], "left_anti")
+    return asked.join(first, ["kind", "key"]).select("question_id", "node_id", "rank")
 
 
 def reference_exact() -> Column:
-    """0.5 for the article and 0.3 for the clause in place, less where only the path has them, 0 where one asked for is missing."""
+    """0.5 for the article, 0.3 for the clause and 0.2 for the point in place, less where only the path has them, 0 where one asked for is missing."""
     path = F.lower("path_title")
 
     def part(key: str, full: float, partial: float) -> Column:
         asked = F.lower(f"q_{key}")
         return F.when(asked.isNull(), 0.0).when(F.lower(key) == asked, full).when(F.contains(path, asked), partial).otherwise(-10.0)
 
-    return F.greatest(F.least(part("article", 0.5, 0.2) + part("clause", 0.3, 0.1), F.lit(1.0)), F.lit(0.0))
+    return F.greatest(F.least(part("article", 0.5, 0.2) + part("clause", 0.3, 0.1) + part("point", 0.2, 0.08), F.lit(1.0)), F.lit(0.0))
 
 
 def metadata_prior() -> Column:
@@ -98,54 +136,96 @@ def metadata_prior() -> Column:
     return 0.60 * number + 0.18 * agency + 0.12 * kind + 0.10 * year
 
 
-def score_candidates(profiles: DataFrame, candidates: DataFrame, text: str = "question") -> DataFrame:
-    """candidates (question_id, bm25, node columns) scored by the weights of explicit or open questions; no vectors."""
-    keys = ["doc_number", "article", "clause", "law_type", "year"]
-    asked = profiles.select("question_id", F.col(text).alias("q_text"), topic_phrases(text).alias("phrases"), "explicit_reference", "heading", *[F.col(k).alias(f"q_{k}") for k in keys])
+# Words that ask for tables.
+TABLE_TERMS = ["bang", "bieu", "phu luc", "danh muc", "danh sach", "table"]
+
+
+def summary_score(question: Column, path: Column, text: Column, node_type: Column, k1: float = 1.5, b: float = 0.75) -> Column:
+    """BM25 of a pair without corpus statistics, 4 for each phrase of the question, 2 if its first four words are all there; tables last unless asked for."""
+    said, there = tokens(question), tokens(text)
+    norm = k1 * (1 - b + b * F.size(there))
+    part = lambda n: n * (k1 + 1) / (n + norm)
+    score = F.aggregate(said, F.lit(0.0), lambda total, w: total + part(F.size(F.filter(there, lambda x: x == w))))
+    hay = norm_key(F.concat_ws(" ", path, text))
+    phrases = F.size(F.filter(topic_phrases(question), lambda p: F.contains(hay, p)))
+    first = F.slice(said, 1, 4)
+    whole = (F.size(first) > 0) & F.forall(first, lambda w: F.contains(hay, w))
+    tables = F.size(F.filter(F.array(*map(F.lit, TABLE_TERMS)), lambda t: F.contains(ascii_key(question), t))) > 0
+    return score + 4.0 * phrases + F.when(whole, 2.0).otherwise(0.0) - F.when(~tables & node_type.isin("table", "table_row"), 10.0).otherwise(0.0)
+
+
+def structure_bonus() -> Column:
+    """0.1 for each heading word of the question in the path; for questions about changes, what is known of the candidate's versions."""
+    path = norm_key("path_title")
+    heads = 0.10 * F.size(F.filter(F.split("q_heading", ","), lambda t: (t != "") & F.contains(path, t)))
+    changed = F.when((F.col("status") != "base") & (F.col("status") != ""), 0.10).otherwise(0.0) + F.least(F.lit(0.12), 0.03 * F.coalesce("n_events", F.lit(0)))
+    return F.least(F.lit(0.22), heads + F.when(F.col("q_change") != "", F.coalesce(changed, F.lit(0.0))).otherwise(0.0))
+
+
+def score_candidates(profiles: DataFrame, candidates: DataFrame, text: str = "question", mode: str = "passage", alpha: float = 0.55) -> DataFrame:
+    """candidates (question_id, bm25, node columns) scored by the weights of ``mode``: exact, passage or content.
+
+    Where candidates have a column ``dense``, it is mixed in with weight ``alpha``, but for explicit references in the modes
+    exact and passage. status and n_events, as ``versioning.annotate`` gives them, raise questions about changes.
+    """
+    keys = FILTERS
+    asked = profiles.select("question_id", F.col(text).alias("q_text"), topic_phrases(text).alias("phrases"), "explicit_reference", F.col("heading").alias("q_heading"), F.col("change").alias("q_change"), *[F.col(k).alias(f"q_{k}") for k in keys])
+    for c, kind in (("status", "string"), ("n_events", "long")):
+        if c not in candidates.columns:
+            candidates = candidates.withColumn(c, F.lit(None).cast(kind))
     joined = candidates.join(asked, "question_id")
     hay = norm_key("text")
-    hits = F.size(F.filter("phrases", lambda p: F.contains(hay, p)))
-    coverage = F.when(F.size("phrases") > 0, hits / F.size("phrases")).otherwise(0.0)
+    joined = joined.withColumn("hits", F.size(F.filter("phrases", lambda p: F.contains(hay, p))))
+    n, hits = F.size("phrases"), F.col("hits")
+    coverage = F.when(n > 0, hits / n).otherwise(0.0)
     q = norm_key("q_text")
-    bonus = sum((F.when(F.contains(q, F.lower(c)) & (F.col(c) != ""), w).otherwise(0.0) for c, w in (("article", 0.15), ("clause", 0.18), ("path_title", 0.08))), F.lit(0.0))
-    gate = F.when(F.size("phrases") > 0, F.least(F.lit(0.24), 0.24 * coverage)).otherwise(0.0)
-    penalty = F.when(F.size("phrases") == 0, 0.0).when(hits == 0, 0.22).when((hits == 1) & (F.size("phrases") >= 2), 0.06).otherwise(0.0)
-    hybrid = F.least(F.lit(1.0), F.col("bm25") / 8)
-    parts = joined.select("*", hybrid.alias("hybrid"), coverage.alias("phrase_score"), bonus.alias("reference_bonus"), metadata_prior().alias("prior"), reference_exact().alias("exact"), gate.alias("gate"), penalty.alias("penalty"))
-    explicit = 0.40 * F.col("exact") + 0.22 * F.col("hybrid") + 0.14 * F.col("phrase_score") + 0.10 * F.col("prior") + 0.06 * F.col("reference_bonus") + F.col("gate")
-    content = 0.42 * F.col("hybrid") + 0.20 * F.col("phrase_score") + 0.10 * F.col("prior") + 0.08 * F.col("reference_bonus") + F.col("gate") - F.col("penalty")
-    return parts.withColumn("candidate_score", F.round(F.when(F.col("explicit_reference"), explicit).otherwise(content), 6))
+    bonus = sum((F.when(F.contains(q, F.lower(c)) & (F.col(c) != ""), w).otherwise(0.0) for c, w in (("article", 0.15), ("clause", 0.18), ("point", 0.18), ("path_title", 0.08))), F.lit(0.0))
+    gate = F.when(n > 0, F.least(F.lit(0.24), 0.24 * coverage)).otherwise(0.0)
+    penalty = F.when(n == 0, 0.0).when(hits == 0, 0.22).when((hits == 1) & (n >= 2), 0.06).otherwise(0.0)
+    sparse = F.least(F.lit(1.0), F.col("bm25") / 8)
+    hybrid = sparse
+    if "dense" in candidates.columns:
+        mixed = alpha * F.col("dense") + (1 - alpha) * sparse
+        hybrid = mixed if mode == "content" else F.when(F.col("explicit_reference"), sparse).otherwise(mixed)
+    parts = joined.select("*", hybrid.alias("hybrid"), coverage.alias("phrase_score"), bonus.alias("reference_bonus"), metadata_prior().alias("prior"), reference_exact().alias("exact"), structure_bonus().alias("structure_bonus"), gate.alias("gate"), penalty.alias("penalty"))
+    weighted = lambda exact, hybrid, phrase, prior, structure, reference: (exact * F.col("exact") + hybrid * F.col("hybrid") + phrase * F.col("phrase_score") + prior * F.col("prior") + structure * F.col("structure_bonus") + reference * F.col("reference_bonus") + F.col("gate"))
+    content = weighted(0.0, 0.42, 0.20, 0.10, 0.12, 0.08) - (F.col("penalty") if mode == "content" else 0.0)
+    explicit = weighted(0.40, 0.22, 0.14, 0.10, 0.08, 0.06)
+    score = {"exact": weighted(0.34, 0.24, 0.12, 0.12, 0.10, 0.08), "passage": F.when(F.col("explicit_reference"), explicit).otherwise(content), "content": content}[mode]
+    return parts.withColumn("candidate_score", F.round(score, 6))
 
 
 def documents_of(scored: DataFrame) -> DataFrame:
-    """(question_id, doc_id, doc_score, margin, kept): best, mean of the two best, coverage and prior of each document.
+    """(question_id, doc_id, doc_score, rank, kept): best, mean of the two best, coverage and prior of each document.
 
-    Two documents are kept if the second is within 0.08 of the first, else one; none below 0.05.
+    Two documents are kept if the second is within 0.08 of the first and the question has no explicit reference, else one;
+    none below 0.05.
     """
     best = Window.partitionBy("question_id", "doc_id").orderBy(F.desc("candidate_score"), "node_id")
     two = scored.withColumn("k", F.row_number().over(best)).where("k <= 2")
-    docs = two.groupBy("question_id", "doc_id").agg(F.max("candidate_score").alias("top"), F.avg("candidate_score").alias("mean2"), F.max("phrase_score").alias("coverage"), F.max("prior").alias("prior"))
-    docs = docs.select("question_id", "doc_id", F.round(0.45 * F.col("top") + 0.25 * F.col("mean2") + 0.20 * F.col("coverage") + 0.10 * F.col("prior"), 4).alias("doc_score"))
+    docs = two.groupBy("question_id", "doc_id").agg(F.max("candidate_score").alias("top"), F.avg("candidate_score").alias("mean2"), F.max("phrase_score").alias("coverage"), F.max("prior").alias("prior"), F.max("structure_bonus").alias("structure"), F.max("explicit_reference").alias("explicit"))
+    docs = docs.select("question_id", "doc_id", "explicit", F.round(0.45 * F.col("top") + 0.25 * F.col("mean2") + 0.20 * F.col("coverage") + 0.10 * F.greatest("prior", "structure"), 4).alias("doc_score"))
     order = Window.partitionBy("question_id").orderBy(F.desc("doc_score"), "doc_id")
     ranked = docs.withColumn("rank", F.row_number().over(order)).where("rank <= 2").withColumn("first", F.max("doc_score").over(Window.partitionBy("question_id")))
-    return ranked.withColumn("kept", (F.col("first") >= 0.05) & ((F.col("rank") == 1) | (F.col("first") - F.col("doc_score") < 0.08))).drop("first")
+    return ranked.withColumn("kept", (F.col("first") >= 0.05) & ((F.col("rank") == 1) | (F.col("first") - F.col("doc_score") < 0.08) & ~F.col("explicit"))).drop("first", "explicit")
 
 
 def grade(profiles: DataFrame, passages: DataFrame, text: str = "question") -> DataFrame:
-    """(question_id, status, reason) from the passages (question_id, doc_number, article, clause, text) of each question."""
-    joined = profiles.select("question_id", F.col(text).alias("q_text"), F.col("doc_number").alias("q_doc_number"), F.col("article").alias("q_article"), F.col("clause").alias("q_clause")).join(passages, "question_id", "left")
+    """(question_id, status, reason) from the passages (question_id, doc_number, article, clause, point, text) of each question."""
+    joined = profiles.select("question_id", F.col(text).alias("q_text"), F.col("doc_number").alias("q_doc_number"), F.col("article").alias("q_article"), F.col("clause").alias("q_clause"), F.col("point").alias("q_point")).join(passages, "question_id", "left")
     words = F.array_distinct(F.filter(tokens("q_text"), lambda w: F.length(w) >= 4))
     meets = lambda k: F.max(F.coalesce(F.lower(f"q_{k}") == F.lower(k), F.lit(False)))
     # a word of the question counts if any passage holds it
     held = F.filter(words, lambda w: F.contains(norm_key("text"), w))
     graded = joined.groupBy("question_id").agg(
-        F.count("text").alias("n"), meets("doc_number").alias("m_number"), meets("article").alias("m_article"), meets("clause").alias("m_clause"), F.first("q_doc_number").alias("qd"), F.first("q_article").alias("qa"),
+        F.count("text").alias("n"), meets("doc_number").alias("m_number"), meets("article").alias("m_article"), meets("clause").alias("m_clause"), meets("point").alias("m_point"), F.first("q_point").alias("qp"), F.first("q_doc_number").alias("qd"), F.first("q_article").alias("qa"),
         F.first("q_clause").alias("qc"), F.first(F.size(words)).alias("asked"), F.size(F.array_distinct(F.flatten(F.collect_set(held)))).alias("hits"),
     )
     relevant = F.when(F.col("asked") == 0, F.lit(True)).otherwise(F.col("hits") >= F.greatest(F.lit(1), F.least(F.lit(3), F.floor(F.col("asked") / 4))))
     reason = (
         F.when(F.col("n") == 0, "no_passages").when(F.col("qd").isNotNull() & ~F.col("m_number"), "requested_doc_number_not_found").when(F.col("qa").isNotNull() & ~F.col("m_article"), "requested_article_not_found")
-        .when(F.col("qc").isNotNull() & ~F.col("m_clause"), "requested_clause_not_found").when(relevant, "matched_retrieved_context").otherwise("no_relevant_text")
+        .when(F.col("qc").isNotNull() & ~F.col("m_clause"), "requested_clause_not_found")
+        .when(F.col("qp").isNotNull() & ~F.col("m_point"), "requested_point_not_found").when(relevant, "matched_retrieved_context").otherwise("no_relevant_text")
     )
     return graded.select("question_id", reason.alias("reason")).withColumn("status", F.when(F.col("reason") == "matched_retrieved_context", "sufficient").otherwise("insufficient"))
 
@@ -154,8 +234,8 @@ def citations(answers: DataFrame, passages: DataFrame) -> DataFrame:
     """(question_id, n_refs, n_unsupported, valid) for the references in answers (question_id, answer) against their passages."""
     refs = lambda pattern, label: F.transform(F.regexp_extract_all(norm_key("answer"), F.lit(pattern), 1), lambda n: F.concat(F.lit(label), n))
     number = F.transform(F.regexp_extract_all(F.upper("answer"), F.lit(r"(?U)\b(\d{1,4}/\d{4}/[A-ZĐ\-]+)\b"), 1), lambda n: F.lower(n))
-    cited = answers.select("question_id", F.explode(F.array_distinct(F.concat(refs(r"điều\s+(\d+)", "điều "), refs(r"khoản\s+(\d+)", "khoản "), number))).alias("ref"))
-    values = passages.select("question_id", F.explode(F.array(F.lower("article"), F.lower("clause"), F.lower("doc_number"))).alias("ref")).where("ref is not null").distinct().withColumn("known", F.lit(True))
+    cited = answers.select("question_id", F.explode(F.array_distinct(F.concat(refs(r"điều\s+(\d+)", "điều "), refs(r"khoản\s+(\d+)", "khoản "), refs(r"(?<!quan )điểm\s+([a-zđ])(?=\s|[,.;:)\]]|$)", "điểm "), number))).alias("ref"))
+    values = passages.select("question_id", F.explode(F.array(F.lower("article"), F.lower("clause"), F.lower("point"), F.lower("doc_number"))).alias("ref")).where("ref is not null").distinct().withColumn("known", F.lit(True))
     checked = cited.join(values, ["question_id", "ref"], "left").groupBy("question_id").agg(F.count("*").alias("n_refs"), F.count_if(F.col("known").isNull()).alias("n_unsupported"))
     return answers.select("question_id").join(checked, "question_id", "left").fillna(0).withColumn("valid", F.col("n_unsupported") == 0)
 

@@ -26,17 +26,18 @@ def query(sql: str | None = None, base: str = "nodes"):
     return add
 
 
-@query(" SELECT node_id, replace(article, 'Điều ', '') AS article_key, coalesce(replace(clause, 'Khoản ', ''), '') AS clause_key FROM nodes WHERE article IS NOT NULL")
+@query(" SELECT node_id, replace(article, 'Điều ', '') AS article_key, coalesce(replace(clause, 'Khoản ', ''), '') AS clause_key, coalesce(replace(point, 'Điểm ', ''), '') AS point_key FROM nodes WHERE article IS NOT NULL")
 def v01_reference_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes(spark, sf_dir).where("article is not null").select("node_id", versioning.ref_piece("article").alias("article_key"), versioning.ref_piece("clause").alias("clause_key"))
+    return nodes(spark, sf_dir).where("article is not null").select("node_id", *versioning.ref_keys())
 
 
-@query(VERSIONS + ", w AS (SELECT DISTINCT doc_id, replace(target_article, 'Điều ', '') AS article_key, coalesce(replace(target_clause, 'Khoản ', ''), '') AS clause_key FROM edges) SELECT w.*, coalesce(v.status, 'unknown') AS status, coalesce(v.first_repealed_by, '') AS repealed_by FROM w LEFT JOIN versions v USING (doc_id, article_key, clause_key)", "edges")
+@query(VERSIONS + ", w AS (SELECT DISTINCT doc_id, replace(target_article, 'Điều ', '') AS article_key, coalesce(replace(target_clause, 'Khoản ', ''), '') AS clause_key, coalesce(replace(target_point, 'Điểm ', ''), '') AS point_key FROM edges UNION SELECT doc_id, article_key, '99', 'z' FROM versions UNION SELECT doc_id, '9999', '', '' FROM versions) SELECT w.*, coalesce(v.status, a.status, 'unknown') AS status, coalesce(CASE WHEN v.status IS NULL THEN a.first_repealed_by ELSE v.first_repealed_by END, '') AS repealed_by FROM w LEFT JOIN versions v USING (doc_id, article_key, clause_key, point_key) LEFT JOIN versions a ON a.doc_id = w.doc_id AND a.article_key = w.article_key AND a.clause_key = '' AND a.point_key = ''", "edges")
 def v07_current_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
-    states = versioning.version_map(n, versioning.events(e, n)).select("doc_id", "article_key", "clause_key", "status", "first_repealed_by")
-    wanted = e.select("doc_id", versioning.ref_piece("target_article").alias("article_key"), versioning.ref_piece("target_clause").alias("clause_key")).distinct()
-    return wanted.join(states, ["doc_id", "article_key", "clause_key"], "left").select("doc_id", "article_key", "clause_key", F.coalesce("status", F.lit("unknown")).alias("status"), F.coalesce("first_repealed_by", F.lit("")).alias("repealed_by"))
+    states = versioning.version_map(n, versioning.events(e, n))
+    wanted = e.select("doc_id", *versioning.ref_keys("target_"))
+    no_such = states.select("doc_id", "article_key", F.lit("99").alias("clause_key"), F.lit("z").alias("point_key")).unionByName(states.select("doc_id", F.lit("9999").alias("article_key"), F.lit("").alias("clause_key"), F.lit("").alias("point_key")))
+    return versioning.current_state(states, wanted.unionByName(no_such).distinct())
 
 
 @query(EVENTS + " SELECT target_doc_number, count(DISTINCT source_id) AS n_sources FROM ev WHERE relation_type IN ('AMENDS', 'REPEALS', 'REPLACES') GROUP BY 1", "edges")
@@ -161,16 +162,16 @@ def r25_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SHOWN = WALKED + """, passages AS (SELECT w.question_id, n.node_id, n.text, n.path_title, w.rank, CASE WHEN w.rank = 1 THEN 'primary' ELSE 'supporting' END AS role, s.scope FROM walked w JOIN nodes n USING (node_id)
-    JOIN (SELECT p.question_id, CASE WHEN lists <> '' THEN 'list' WHEN contains(key, 'la gi') THEN 'definition' ELSE 'exact' END AS scope FROM profiles p JOIN keyed k ON k.question_id = p.question_id) s USING (question_id) WHERE w.rank <= 12),
+    JOIN scopes s USING (question_id) WHERE w.rank <= 12),
   shown AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN role = 'primary' THEN 0 ELSE 1 END, rank, node_id) AS INT) AS place FROM passages QUALIFY place <= CASE scope WHEN 'list' THEN 12 ELSE 2 END),
-  asked AS (SELECT p.question_id, p.question, CASE WHEN lists <> '' THEN 'list' WHEN contains(key, 'la gi') THEN 'definition' ELSE 'exact' END AS scope FROM profiles p JOIN keyed k ON k.question_id = p.question_id),
+  shown_to AS (SELECT p.question_id, p.question, s.scope FROM profiles p JOIN scopes s ON s.question_id = p.question_id),
   blocks AS (SELECT question_id, string_agg('[' || place || '] ' || path_title || chr(10) || text, chr(10) || chr(10) ORDER BY place) AS context FROM shown GROUP BY 1)"""
 
 
 def _shown(n: DataFrame) -> tuple[DataFrame, DataFrame]:
     asked = questions(n).withColumn("scope", planning.scope())
     p = planning.profile(questions(n))
-    walked = navigation.navigate(p, n, retrieval.direct_targets(p, n))
+    walked, _ = navigation.navigate(p, n, retrieval.direct_targets(p, n))
     passages = walked.join(n.select("node_id", "text", "path_title"), "node_id").join(asked.select("question_id", "scope"), "question_id").withColumn("role", F.when(F.col("rank") == 1, "primary").otherwise("supporting"))
     return asked, answers.select_passages(passages)
 
@@ -185,13 +186,13 @@ def a05_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.sources(_shown(nodes(spark, sf_dir))[1])
 
 
-@query(SHOWN + f" SELECT a.question_id, md5(CASE scope {' '.join(f'''WHEN '{k}' THEN '{v}' ''' for k, v in answers.INSTRUCTIONS.items())} END || chr(10) || chr(10) || 'Câu hỏi: ' || question || chr(10) || chr(10) || 'Căn cứ:' || chr(10) || coalesce(context, '')) AS prompt_md5 FROM asked a LEFT JOIN blocks USING (question_id)")
+@query(SHOWN + f" SELECT a.question_id, md5(CASE scope {' '.join(f'''WHEN '{k}' THEN '{v}' ''' for k, v in answers.INSTRUCTIONS.items())} END || chr(10) || chr(10) || 'Câu hỏi: ' || question || chr(10) || chr(10) || 'Căn cứ:' || chr(10) || coalesce(context, '')) AS prompt_md5 FROM shown_to a LEFT JOIN blocks USING (question_id)")
 def a06_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, shown = _shown(nodes(spark, sf_dir))
     return answers.prompts(asked, answers.contexts(shown)).select("question_id", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
 
 
-@query(SHOWN + f" SELECT a.question_id, coalesce(s.text, '{answers.REFUSAL}') AS answer FROM asked a LEFT JOIN shown s ON s.question_id = a.question_id AND s.place = 1")
+@query(SHOWN + f" SELECT a.question_id, coalesce(s.text, '{answers.REFUSAL}') AS answer FROM shown_to a LEFT JOIN shown s ON s.question_id = a.question_id AND s.place = 1")
 def a07_extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, shown = _shown(nodes(spark, sf_dir))
     return answers.answer(asked, shown)
@@ -221,7 +222,7 @@ def a10_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a11_verified_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = nodes(spark, sf_dir).where("node_type = 'clause' and order_index % 40 = 3")
     said = own.select(F.col("node_id").alias("question_id"), F.concat("text", F.lit(" theo "), "doc_number").alias("answer"))
-    passages = own.select(F.col("node_id").alias("question_id"), "article", "clause", "doc_number")
+    passages = own.select(F.col("node_id").alias("question_id"), "article", "clause", "point", "doc_number")
     return answers.verified(said, retrieval.citations(said, passages))
 
 

@@ -24,7 +24,7 @@ def query(sql: str | None = None, with_edges: bool = False):
 CLOSURE = """, closure AS (SELECT node_id AS ancestor, node_id, 0 AS distance FROM nodes UNION ALL SELECT n.parent_id, c.node_id, c.distance + 1 FROM closure c JOIN nodes n ON n.node_id = c.ancestor WHERE n.parent_id IS NOT NULL)"""
 
 
-@query(" SELECT node_id, doc_id, node_type, label, text, parent_id, level, article, clause, path_title, law_type, doc_number, CAST(year AS INT) AS year, issuing_agency, CAST(order_index AS INT) AS order_index FROM nodes")
+@query(" SELECT node_id, doc_id, node_type, label, text, parent_id, level, article, clause, point, path_title, law_type, doc_number, CAST(year AS INT) AS year, issuing_agency, CAST(order_index AS INT) AS order_index FROM nodes")
 def g01_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes(spark, sf_dir)
 
@@ -131,7 +131,7 @@ def g16_sibling_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.sibling_window(n, _chosen(n))
 
 
-REFS = r""", refs AS (SELECT node_id, doc_id, 0 AS ref_no, 'Điều ' || regexp_extract(text, 'Điều (\d+)', 1) AS target_article, 'Khoản ' || regexp_extract(text, 'khoản (\d+)', 1) AS target_clause FROM nodes WHERE node_type = 'clause')"""
+REFS = r""", refs AS (SELECT node_id, doc_id, 0 AS ref_no, 'Điều ' || regexp_extract(text, 'Điều (\d+)', 1) AS target_article, 'Khoản ' || regexp_extract(text, 'khoản (\d+)', 1) AS target_clause, 'Điểm ' || nullif(regexp_extract(text, 'điểm ([a-zđ])', 1), '') AS target_point FROM nodes WHERE node_type IN ('clause', 'point'))"""
 
 
 @query(REFS + " SELECT * FROM refs")
@@ -139,8 +139,8 @@ def g17_cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cross_references(nodes(spark, sf_dir))
 
 
-@query(REFS + """, fits AS (SELECT r.node_id, r.ref_no, r.target_article, r.target_clause, n.node_id AS target_id, row_number() OVER (PARTITION BY r.node_id, r.ref_no ORDER BY CASE WHEN n.clause = r.target_clause THEN 1 ELSE 0 END DESC, n.order_index DESC) AS k
-  FROM refs r JOIN nodes n ON n.doc_id = r.doc_id AND n.article = r.target_article AND (n.clause = r.target_clause OR n.clause IS NULL)) SELECT * EXCLUDE (k) FROM fits WHERE k = 1""")
+@query(REFS + """, fits AS (SELECT r.node_id, r.ref_no, r.target_article, r.target_clause, r.target_point, n.node_id AS target_id, row_number() OVER (PARTITION BY r.node_id, r.ref_no ORDER BY CASE WHEN n.clause = r.target_clause THEN 1 ELSE 0 END + CASE WHEN n.point = r.target_point THEN 1 ELSE 0 END DESC, n.order_index DESC) AS k
+  FROM refs r JOIN nodes n ON n.doc_id = r.doc_id AND n.article = r.target_article AND (n.clause = r.target_clause OR n.clause IS NULL) AND (n.point = r.target_point OR n.point IS NULL)) SELECT * EXCLUDE (k) FROM fits WHERE k = 1""")
 def g18_resolved_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nodes(spark, sf_dir)
     return graph.resolve_references(n, graph.cross_references(n))
@@ -163,7 +163,7 @@ def g21_header_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.header_only(nodes(spark, sf_dir))
 
 
-INDEX = ", idx AS (SELECT doc_id, replace(article, 'Điều ', '') AS article_key, coalesce(replace(clause, 'Khoản ', ''), '') AS clause_key, string_agg(node_id, ',' ORDER BY order_index) AS node_ids FROM nodes WHERE article IS NOT NULL GROUP BY 1, 2, 3)"
+INDEX = ", idx AS (SELECT doc_id, replace(article, 'Điều ', '') AS article_key, coalesce(replace(clause, 'Khoản ', ''), '') AS clause_key, coalesce(replace(point, 'Điểm ', ''), '') AS point_key, string_agg(node_id, ',' ORDER BY order_index) AS node_ids FROM nodes WHERE article IS NOT NULL GROUP BY ALL)"
 
 
 @query(INDEX + " SELECT * FROM idx")
@@ -171,14 +171,15 @@ def v02_reference_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versioning.reference_index(nodes(spark, sf_dir))
 
 
-@query(INDEX + """, w AS (SELECT source_id, doc_id, replace(target_article, 'Điều ', '') AS article_key, coalesce(replace(target_clause, 'Khoản ', ''), '') AS clause_key FROM edges)
-  SELECT w.*, coalesce(a.node_ids, b.node_ids) AS node_ids, CASE WHEN a.node_ids IS NOT NULL THEN 'exact' WHEN b.node_ids IS NOT NULL THEN 'article' ELSE 'none' END AS how FROM w LEFT JOIN idx a USING (doc_id, article_key, clause_key) LEFT JOIN idx b ON b.doc_id = w.doc_id AND b.article_key = w.article_key AND b.clause_key = ''""", True)
+@query(INDEX + """, w AS (SELECT source_id, doc_id, replace(target_article, 'Điều ', '') AS article_key, coalesce(replace(target_clause, 'Khoản ', ''), '') AS clause_key, coalesce(replace(target_point, 'Điểm ', ''), '') AS point_key FROM edges)
+  SELECT w.*, coalesce(a.node_ids, c.node_ids, b.node_ids) AS node_ids, CASE WHEN a.node_ids IS NOT NULL THEN 'exact' WHEN c.node_ids IS NOT NULL THEN 'clause' WHEN b.node_ids IS NOT NULL THEN 'article' ELSE 'none' END AS how FROM w LEFT JOIN idx a USING (doc_id, article_key, clause_key, point_key)
+  LEFT JOIN idx c ON c.doc_id = w.doc_id AND c.article_key = w.article_key AND c.clause_key = w.clause_key AND c.point_key = '' LEFT JOIN idx b ON b.doc_id = w.doc_id AND b.article_key = w.article_key AND b.clause_key = '' AND b.point_key = ''""", True)
 def v03_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versioning.resolve(versioning.reference_index(nodes(spark, sf_dir)), edges(spark, sf_dir))
 
 
 EVENTS = r""", ev AS (SELECT e.doc_id, e.source_id, relation_type, n.doc_number AS source_doc_number, upper(regexp_extract(target_text, '^(Nghị định \d+/\d+/NĐ-CP)', 1)) AS target_doc_number,
-  CASE WHEN target_clause IS NOT NULL THEN 'clause' ELSE 'article' END AS target_scope, target_article, target_clause, regexp_extract(target_text, '\d\d/\d\d/\d{4}') AS dates FROM edges e JOIN nodes n ON n.node_id = e.source_id)"""
+  CASE WHEN target_point IS NOT NULL THEN 'point' WHEN target_clause IS NOT NULL THEN 'clause' ELSE 'article' END AS target_scope, target_article, target_clause, target_point, regexp_extract(target_text, '\d\d/\d\d/\d{4}') AS dates FROM edges e JOIN nodes n ON n.node_id = e.source_id)"""
 
 
 @query(EVENTS + " SELECT * FROM ev", True)
@@ -186,9 +187,9 @@ def v04_version_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versioning.events(edges(spark, sf_dir), nodes(spark, sf_dir))
 
 
-VERSIONS = EVENTS + INDEX + """, ch AS (SELECT doc_id, replace(target_article, 'Điều ', '') AS article_key, coalesce(replace(target_clause, 'Khoản ', ''), '') AS clause_key, count(*) FILTER (relation_type = 'AMENDS') AS n_amended, count(*) FILTER (relation_type = 'REPEALS') AS n_repealed, count(*) FILTER (relation_type = 'REPLACES') AS n_replaced, count(*) AS n_events, min(source_id) FILTER (relation_type = 'REPEALS') AS first_repealed_by FROM ev GROUP BY 1, 2, 3),
-  versions AS (SELECT doc_id, article_key, clause_key, coalesce(node_ids, '') AS node_ids, coalesce(n_amended, 0) AS n_amended, coalesce(n_repealed, 0) AS n_repealed, coalesce(n_replaced, 0) AS n_replaced, coalesce(n_events, 0) AS n_events, first_repealed_by,
-    CASE WHEN n_repealed > 0 THEN 'repealed' WHEN n_replaced > 0 THEN 'replaced' WHEN n_amended > 0 THEN 'amended' WHEN n_events > 0 THEN 'effective_info_found' ELSE 'base' END AS status FROM idx FULL JOIN ch USING (doc_id, article_key, clause_key))"""
+VERSIONS = EVENTS + INDEX + """, ch AS (SELECT doc_id, replace(target_article, 'Điều ', '') AS article_key, coalesce(replace(target_clause, 'Khoản ', ''), '') AS clause_key, coalesce(replace(target_point, 'Điểm ', ''), '') AS point_key, count(*) FILTER (relation_type = 'AMENDS') AS n_amended, count(*) FILTER (relation_type = 'REPEALS') AS n_repealed, count(*) FILTER (relation_type = 'REPLACES') AS n_replaced, count(*) AS n_events, min(source_id) FILTER (relation_type = 'REPEALS') AS first_repealed_by FROM ev GROUP BY ALL),
+  versions AS (SELECT doc_id, article_key, clause_key, point_key, coalesce(node_ids, '') AS node_ids, coalesce(n_amended, 0) AS n_amended, coalesce(n_repealed, 0) AS n_repealed, coalesce(n_replaced, 0) AS n_replaced, coalesce(n_events, 0) AS n_events, first_repealed_by,
+    CASE WHEN n_repealed > 0 THEN 'repealed' WHEN n_replaced > 0 THEN 'replaced' WHEN n_amended > 0 THEN 'amended' WHEN n_events > 0 THEN 'effective_info_found' ELSE 'base' END AS status FROM idx FULL JOIN ch USING (doc_id, article_key, clause_key, point_key))"""
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +207,7 @@ def v09_version_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _versions(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n_refs"), F.sum("n_events").alias("n_events"))
 
 
-@query(VERSIONS + " SELECT n.node_id, coalesce(v.status, 'base') AS status, coalesce(v.n_events, 0) AS n_events FROM nodes n LEFT JOIN versions v ON v.doc_id = n.doc_id AND v.article_key = replace(n.article, 'Điều ', '') AND v.clause_key = coalesce(replace(n.clause, 'Khoản ', ''), '')", True)
+@query(VERSIONS + " SELECT n.node_id, coalesce(v.status, 'base') AS status, coalesce(v.n_events, 0) AS n_events FROM nodes n LEFT JOIN versions v ON v.doc_id = n.doc_id AND v.article_key = replace(n.article, 'Điều ', '') AND v.clause_key = coalesce(replace(n.clause, 'Khoản ', ''), '') AND v.point_key = coalesce(replace(n.point, 'Điểm ', ''), '')", True)
 def v08_annotated_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versioning.annotate(nodes(spark, sf_dir), _versions(spark, sf_dir)).select("node_id", "status", "n_events")
 

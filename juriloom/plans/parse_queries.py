@@ -41,11 +41,11 @@ def h07_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "doc_number", F.concat(F.upper(F.substring("doc_type", 1, 1)), F.lower(F.substring("doc_type", 2, 99))).alias("doc_type_key"), "year", "official_title", "issuing_agency", "date_raw", "place")
 
 
-@query(" SELECT doc_id, node_type, label, text, article, clause, CAST(order_index AS INT) AS order_index, CAST(level AS INT) AS level FROM nodes WHERE node_type <> 'document'")
+@query(" SELECT doc_id, node_type, label, text, article, clause, point, CAST(order_index AS INT) AS order_index, CAST(level AS INT) AS level FROM nodes WHERE node_type <> 'document'")
 def p02_parsed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     found = parser.parsed(rendered(spark, sf_dir), title="title")
-    return found.where("node_type <> 'document'").select("doc_id", "node_type", "label", "text", "article", "clause", "order_index", "level")
+    return found.where("node_type <> 'document'").select("doc_id", "node_type", "label", "text", "article", "clause", "point", "order_index", "level")
 
 
 @query(" SELECT node_type, count(*) AS n FROM nodes GROUP BY 1")

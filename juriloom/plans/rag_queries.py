@@ -10,25 +10,27 @@ from juriloom.plans.corpus import NODES_SQL, nodes
 from juriloom.plans.lexical_queries import STOP_SQL
 
 QUERIES, ORACLES = {}, {}
-KEYS = ["doc_number", "law_type", "year", "article", "clause"]
+KEYS = ["doc_number", "law_type", "year", "article", "clause", "point"]
 
 
 def questions(n: DataFrame) -> DataFrame:
-    """One question for every fortieth node, in five forms by the document's number."""
-    k = F.split("doc_number", "/")[0].cast("long") % 5
+    """One question for every fortieth node, in six forms by the document's number; a clause that has a point is asked for by it."""
+    k = F.split("doc_number", "/")[0].cast("long") % 6
+    letter = F.when(F.col("clause") == "Khoản 3", "Điểm a ").when(F.col("clause") == "Khoản 6", "Điểm đ ").otherwise("")
     form = (
-        F.when(k == 0, F.concat("clause", F.lit(" "), "article", F.lit(" của "), "law_type", F.lit(" số "), "doc_number", F.lit(" quy định gì?")))
+        F.when(k == 0, F.concat(letter, "clause", F.lit(" "), "article", F.lit(" của "), "law_type", F.lit(" số "), "doc_number", F.lit(" quy định gì?")))
         .when(k == 1, F.concat("article", F.lit(" của "), "doc_number", F.lit(" gồm những nguyên tắc nào?")))
         .when(k == 2, F.concat("law_type", F.lit(" ban hành năm "), "year", F.lit(" quy định trách nhiệm khi nào?")))
         .when(k == 3, F.lit("Doanh nghiệp phải làm gì theo quy hoạch đến năm 2030?"))
+        .when(k == 5, F.concat("article", F.lit(" của "), "doc_number", F.lit(" bị sửa đổi thế nào?")))
         .otherwise(F.concat(F.lit("Thời hạn và hồ sơ theo "), "doc_number", F.lit(" là gì?")))
     )
     return n.where("node_type = 'clause' and order_index % 40 = 3").select(F.col("node_id").alias("question_id"), form.alias("question"))
 
 
-QUESTIONS = """, questions AS (SELECT node_id AS question_id, CASE CAST(split_part(doc_number, '/', 1) AS BIGINT) % 5 WHEN 0 THEN clause || ' ' || article || ' của ' || law_type || ' số ' || doc_number || ' quy định gì?'
+QUESTIONS = """, questions AS (SELECT node_id AS question_id, CASE CAST(split_part(doc_number, '/', 1) AS BIGINT) % 6 WHEN 0 THEN CASE clause WHEN 'Khoản 3' THEN 'Điểm a ' WHEN 'Khoản 6' THEN 'Điểm đ ' ELSE '' END || clause || ' ' || article || ' của ' || law_type || ' số ' || doc_number || ' quy định gì?'
   WHEN 1 THEN article || ' của ' || doc_number || ' gồm những nguyên tắc nào?' WHEN 2 THEN law_type || ' ban hành năm ' || year || ' quy định trách nhiệm khi nào?' WHEN 3 THEN 'Doanh nghiệp phải làm gì theo quy hoạch đến năm 2030?'
-  ELSE 'Thời hạn và hồ sơ theo ' || doc_number || ' là gì?' END AS question FROM nodes WHERE node_type = 'clause' AND order_index % 40 = 3)"""
+  WHEN 5 THEN article || ' của ' || doc_number || ' bị sửa đổi thế nào?' ELSE 'Thời hạn và hồ sơ theo ' || doc_number || ' là gì?' END AS question FROM nodes WHERE node_type = 'clause' AND order_index % 40 = 3)"""
 
 
 def _list(terms: list[str]) -> str:
@@ -41,14 +43,15 @@ def _held(terms: list[str], key: str = "key") -> str:
 
 PROFILES = QUESTIONS + rf""", keyed AS (SELECT *, replace(lower(strip_accents(question)), 'đ', 'd') AS key FROM questions),
 found AS (SELECT *, 'Điều ' || nullif(regexp_extract(key, '\bdieu\s*(\d+[a-z]?)\b', 1), '') AS article, 'Khoản ' || nullif(regexp_extract(key, '\bkhoan\s*(\d+)\b', 1), '') AS clause,
+  'Điểm ' || CASE regexp_extract(key, '\bdiem\s*([a-z])\b', 1) WHEN 'd' THEN 'đ' WHEN '' THEN NULL ELSE regexp_extract(key, '\bdiem\s*([a-z])\b', 1) END AS point,
   nullif(regexp_extract(key, '\b(19\d\d|20\d\d)\b', 1), '') AS any_year, nullif(regexp_extract(upper(question), '\b(\d{{1,4}}/(?:\d{{4}}/)?[A-ZĐ\-]+)', 1), '') AS doc_number,
   CASE {" ".join(f"WHEN contains(key, '{k}') THEN '{v}'" for k, v in planning.LAW_TYPES.items())} END AS law_type,
   {_held(planning.HEADING_TERMS)} AS heading, {_held(planning.CHANGE_TERMS)} AS change, {_held(planning.CONDITION_TERMS)} AS condition, {_held(planning.LIST_TERMS)} AS lists FROM keyed),
 windowed AS (SELECT *, substring(key, greatest(instr(key, any_year) - 55, 1), instr(key, any_year) + 34 - greatest(instr(key, any_year) - 55, 1)) AS near FROM found),
-profiles AS (SELECT question_id, question, article, clause, doc_number, law_type, heading, change, condition, lists,
+profiles AS (SELECT question_id, question, article, clause, point, doc_number, law_type, heading, change, condition, lists,
   CASE WHEN {_held(planning.HORIZON_MARKERS, "near")} = '' AND {_held(planning.YEAR_MARKERS, "near")} <> '' THEN CAST(any_year AS INT) END AS year,
-  article IS NOT NULL OR clause IS NOT NULL AS explicit_reference, CAST(any_year AS INT) AS any_year,
-  CASE WHEN change <> '' THEN 'version_change' WHEN article IS NOT NULL OR clause IS NOT NULL THEN 'direct_reference' WHEN heading <> '' AND (lists <> '' OR condition = '') THEN 'heading_list' WHEN condition <> '' THEN 'condition_circumstance' WHEN doc_number IS NOT NULL THEN 'document_focus' ELSE 'factoid' END AS route FROM windowed)"""
+  article IS NOT NULL OR clause IS NOT NULL OR point IS NOT NULL AS explicit_reference, CAST(any_year AS INT) AS any_year,
+  CASE WHEN change <> '' THEN 'version_change' WHEN article IS NOT NULL OR clause IS NOT NULL OR point IS NOT NULL THEN 'direct_reference' WHEN heading <> '' AND (lists <> '' OR condition = '') THEN 'heading_list' WHEN condition <> '' THEN 'condition_circumstance' WHEN doc_number IS NOT NULL THEN 'document_focus' ELSE 'factoid' END AS route FROM windowed)"""
 
 
 def query(sql: str | None = None):
@@ -65,9 +68,9 @@ def _profiles(n: DataFrame) -> DataFrame:
     return planning.profile(questions(n))
 
 
-@query(PROFILES + " SELECT question_id, article, clause, doc_number, law_type, year, heading, change, condition, lists FROM profiles")
+@query(PROFILES + " SELECT question_id, article, clause, point, doc_number, law_type, year, heading, change, condition, lists FROM profiles")
 def q01_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _profiles(nodes(spark, sf_dir)).select("question_id", "article", "clause", "doc_number", "law_type", "year", "heading", "change", "condition", "lists")
+    return _profiles(nodes(spark, sf_dir)).select("question_id", "article", "clause", "point", "doc_number", "law_type", "year", "heading", "change", "condition", "lists")
 
 
 @query(PROFILES + " SELECT question_id, any_year AS removed_year FROM profiles WHERE year IS NULL AND any_year IS NOT NULL")
@@ -75,7 +78,7 @@ def q09_unsafe_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _profiles(nodes(spark, sf_dir)).where("removed_year is not null").select("question_id", "removed_year")
 
 
-@query(PROFILES + " SELECT question_id, route, explicit_reference, route IN ('heading_list', 'version_change') OR (explicit_reference AND clause IS NULL) AS prefers_bundle, lists <> '' OR route = 'heading_list' AS wants_list FROM profiles")
+@query(PROFILES + " SELECT question_id, route, explicit_reference, route IN ('heading_list', 'version_change') OR (explicit_reference AND clause IS NULL AND point IS NULL) AS prefers_bundle, lists <> '' OR route = 'heading_list' AS wants_list FROM profiles")
 def q04_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _profiles(nodes(spark, sf_dir)).select("question_id", "route", "explicit_reference", "prefers_bundle", "wants_list")
 
@@ -90,89 +93,102 @@ ph AS (SELECT *, list_filter(list_concat(list_transform(range(1, greatest(len(w)
 phrases AS (SELECT *, list_filter(raw, lambda g, i: list_position(raw, g) = i) AS p FROM ph)"""
 
 
-@query(PROFILES + ", " + PHRASES + """, c AS (SELECT question_id, list_filter(list_concat([question, nullif(concat_ws(' ', doc_number, article, clause), '')], p[1:3]), lambda x: x IS NOT NULL) AS c FROM phrases)
+@query(PROFILES + ", " + PHRASES + """, c AS (SELECT question_id, list_filter(list_concat([question, nullif(concat_ws(' ', doc_number, article, clause, point), '')], p[1:3]), lambda x: x IS NOT NULL) AS c FROM phrases)
   SELECT question_id, CAST(generate_subscripts(c, 1) - 1 AS INT) AS query_no, unnest(c) AS query FROM c""")
 def q10_expanded_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.expanded(_profiles(nodes(spark, sf_dir)))
 
 
 SAME = {k: f"(q.{k} IS NULL OR {'n' if k != 'year' else 'n'}.{k} = q.{k})" for k in KEYS}
-LADDER = f""", hits AS (
-  SELECT q.question_id, n.node_id, n.doc_id, n.order_index, v.no, v.name FROM profiles q JOIN nodes n ON {" AND ".join(f"(q.{k} IS NULL OR n.{k} = q.{k})" for k in ("doc_number",))}
-  CROSS JOIN (VALUES (0, 'doc_number_article_clause'), (1, 'doc_number_article'), (2, 'doc_number'), (3, 'article_clause'), (4, 'article'), (5, 'law_type_year')) v(no, name)
-  WHERE CASE v.no WHEN 0 THEN q.doc_number IS NOT NULL AND q.clause IS NOT NULL AND (q.article IS NULL OR n.article = q.article) AND n.clause = q.clause
-    WHEN 1 THEN q.doc_number IS NOT NULL AND q.article IS NOT NULL AND n.article = q.article WHEN 2 THEN q.doc_number IS NOT NULL
-    WHEN 3 THEN q.doc_number IS NULL AND q.clause IS NOT NULL AND n.clause = q.clause AND (q.article IS NULL OR n.article = q.article) AND {SAME['law_type']} AND {SAME['year']}
-    WHEN 4 THEN q.doc_number IS NULL AND q.article IS NOT NULL AND n.article = q.article AND {SAME['law_type']} AND {SAME['year']}
-    ELSE q.doc_number IS NULL AND (q.law_type IS NOT NULL OR q.year IS NOT NULL) AND {SAME['law_type']} AND {SAME['year']} END),
-ladder AS (SELECT question_id, node_id, doc_id, order_index, name AS level FROM hits QUALIFY no = min(no) OVER (PARTITION BY question_id))"""
-
-
-@query(PROFILES + LADDER + " SELECT question_id, level, count(*) AS n_nodes, min(node_id) AS first_id, max(node_id) AS last_id FROM ladder GROUP BY 1, 2")
+_ON = " AND ".join(f"(NOT v.{c} OR q.{k} IS NULL OR n.{k} = q.{k})" for c, k in (("a", "article"), ("c", "clause"), ("p", "point")))
+_SOME = " OR ".join(f"(v.{c} AND q.{k} IS NOT NULL)" for c, k in (("a", "article"), ("c", "clause"), ("p", "point")))
+LADDER = f""", groups AS (SELECT {", ".join(KEYS)}, count(*) AS n, min(node_id) AS low, max(node_id) AS high FROM nodes GROUP BY ALL),
+wide AS (SELECT law_type, year, article, clause, point, sum(n) AS n, min(low) AS low, max(high) AS high FROM groups GROUP BY ALL),
+own AS (SELECT q.question_id, v.no, v.name, n.n, n.low, n.high FROM profiles q JOIN groups n ON n.doc_number = q.doc_number
+  CROSS JOIN (VALUES (0, 'doc_number_article_clause_point', true, true, true), (1, 'doc_number_article_clause', true, true, false), (2, 'doc_number_article', true, false, false), (3, 'doc_number', false, false, false)) v(no, name, a, c, p) WHERE {_ON}),
+other AS (SELECT q.question_id, v.no, v.name, n.n, n.low, n.high FROM (SELECT * FROM profiles WHERE question_id NOT IN (SELECT question_id FROM own)) q JOIN wide n ON {SAME["law_type"]} AND {SAME["year"]}
+  CROSS JOIN (VALUES (4, 'article_clause_point', true, true, true), (5, 'article_clause', true, true, false), (6, 'article', true, false, false), (7, 'law_type_year', false, false, false)) v(no, name, a, c, p) WHERE {_ON} AND ({_SOME} OR q.law_type IS NOT NULL OR q.year IS NOT NULL)),
+ladder AS (SELECT * FROM (SELECT * FROM own UNION ALL SELECT * FROM other) QUALIFY no = min(no) OVER (PARTITION BY question_id))"""
+
+
+@query(PROFILES + LADDER + " SELECT question_id, name AS level, CAST(sum(n) AS BIGINT) AS n_nodes, min(low) AS first_id, max(high) AS last_id FROM ladder GROUP BY 1, 2")
 def r02_filter_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nodes(spark, sf_dir)
-    return retrieval.ladder(_profiles(n), n).groupBy("question_id", "level").agg(F.count("*").alias("n_nodes"), F.min("node_id").alias("first_id"), F.max("node_id").alias("last_id"))
+    return retrieval.ladder_counts(_profiles(n), n)
 
 
-@query(PROFILES + f""", m AS (SELECT q.question_id, n.node_id, n.doc_id, n.order_index, count(*) OVER (PARTITION BY q.question_id) AS k, q.doc_number IS NOT NULL OR q.law_type IS NOT NULL OR q.year IS NOT NULL AS named
-  FROM profiles q JOIN nodes n ON n.article = q.article AND n.node_type = CASE WHEN q.clause IS NOT NULL THEN 'clause' ELSE 'article' END AND {" AND ".join(SAME[k] for k in ("clause", "doc_number", "law_type", "year"))})
-  SELECT question_id, node_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY order_index, doc_id) AS INT) AS rank FROM m WHERE k = 1 OR named QUALIFY rank <= 8""")
+@query(PROFILES + LADDER + ", named AS (SELECT question_id FROM profiles WHERE doc_number IS NOT NULL) SELECT question_id, name AS level, CAST(sum(n) AS BIGINT) AS n_nodes FROM ladder WHERE question_id IN (SELECT question_id FROM named) GROUP BY 1, 2")
+def r03_filtered_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes themselves, for questions that name a document."""
+    n = nodes(spark, sf_dir)
+    return retrieval.ladder(_profiles(n).where("doc_number is not null"), n).groupBy("question_id", "level").agg(F.countDistinct("node_id").alias("n_nodes"))
+
+
+_KIND = "CASE WHEN q.point IS NOT NULL THEN 'point' WHEN q.clause IS NOT NULL THEN 'clause' ELSE 'article' END"
+TARGETS = f""", m AS (SELECT q.question_id, n.node_id, n.doc_id, n.order_index, count(*) OVER (PARTITION BY q.question_id) AS k, q.doc_number IS NOT NULL OR q.law_type IS NOT NULL OR q.year IS NOT NULL AS named
+  FROM profiles q JOIN nodes n ON n.article = q.article AND n.node_type = {_KIND} AND {" AND ".join(SAME[k] for k in ("point", "clause", "doc_number", "law_type", "year"))}),
+  start AS (SELECT question_id, node_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY order_index, doc_id) AS INT) AS rank FROM m WHERE k = 1 OR named QUALIFY rank <= 8
+    UNION ALL SELECT q.question_id, n.node_id, CAST(row_number() OVER (PARTITION BY q.question_id ORDER BY n.order_index, n.doc_id) AS INT) AS rank FROM profiles q JOIN nodes n ON n.doc_number = q.doc_number AND n.node_type = 'article' WHERE q.article IS NULL AND q.clause IS NULL AND q.point IS NULL QUALIFY rank <= 12)"""
+
+
+@query(PROFILES + TARGETS + " SELECT * FROM start")
 def r04_direct_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nodes(spark, sf_dir)
     return retrieval.direct_targets(_profiles(n), n)
 
 
 def _candidates(n: DataFrame) -> DataFrame:
-    """Clauses and articles of the documents that a question names, with a plain BM25."""
+    """What stands below the documents that a question names, with the number of shared words for BM25."""
     p = _profiles(n).where("doc_number is not null")
-    own = p.select("question_id", F.col("doc_number").alias("doc_number"), tokens("question").alias("qw")).join(n.where("node_type <> 'document'"), "doc_number")
-    shared = F.size(F.array_intersect(F.array_distinct("qw"), tokens("text"))).cast("double")
+    words = n.where("node_type <> 'document'").withColumn("nw", F.array_distinct(tokens("text")))
+    own = p.select("question_id", F.col("doc_number").alias("doc_number"), F.array_distinct(tokens("question")).alias("qw")).join(words, "doc_number")
+    shared = F.size(F.array_intersect("qw", "nw")).cast("double")
     return own.select("question_id", "node_id", "doc_id", "text", "path_title", "issuing_agency", *KEYS, shared.alias("bm25"))
 
 
-SCORED = PROFILES + ", " + PHRASES + """, cand AS (SELECT q.question_id, n.node_id, n.doc_id, lower(n.text) AS hay, lower(n.path_title) AS path, n.article, n.clause, n.law_type, n.year, n.doc_number, n.issuing_agency, lower(q.question) AS qt, q.p,
-    q.article AS qa, q.clause AS qc, q.law_type AS ql, q.year AS qy, q.doc_number AS qd, q.explicit_reference AS ex, CAST(len(list_intersect(list_distinct(q.w), regexp_extract_all(lower(n.text), '[\\p{L}\\p{N}_]+'))) AS DOUBLE) AS bm25
+SCORED = PROFILES + ", " + PHRASES + """, cand AS (SELECT q.question_id, n.node_id, n.doc_id, lower(n.text) AS hay, lower(n.path_title) AS path, n.article, n.clause, n.point, n.law_type, n.year, n.doc_number, n.issuing_agency, lower(q.question) AS qt, q.p,
+    q.article AS qa, q.clause AS qc, q.point AS qp, q.change AS qch, q.law_type AS ql, q.year AS qy, q.doc_number AS qd, q.explicit_reference AS ex, CAST(len(list_intersect(list_distinct(q.w), regexp_extract_all(lower(n.text), '[\\p{L}\\p{N}_]+'))) AS DOUBLE) AS bm25
   FROM phrases q JOIN nodes n ON n.doc_number = q.doc_number AND n.node_type <> 'document'),
 f AS (SELECT *, len(list_filter(p, lambda x: contains(hay, x))) AS hits, least(1, bm25 / 8) AS hybrid,
-  (CASE WHEN contains(qt, lower(article)) THEN 0.15 ELSE 0 END) + (CASE WHEN contains(qt, lower(clause)) THEN 0.18 ELSE 0 END) + (CASE WHEN contains(qt, path) THEN 0.08 ELSE 0 END) AS bonus,
+  (CASE WHEN contains(qt, lower(article)) THEN 0.15 ELSE 0 END) + (CASE WHEN contains(qt, lower(clause)) THEN 0.18 ELSE 0 END) + (CASE WHEN contains(qt, lower(point)) THEN 0.18 ELSE 0 END) + (CASE WHEN contains(qt, path) THEN 0.08 ELSE 0 END) AS bonus,
   0.6 + 0.18 + (CASE WHEN lower(ql) = lower(law_type) THEN 0.12 ELSE 0 END) + (CASE WHEN qy = year THEN 0.1 ELSE 0 END) AS prior,
-  greatest(0, least(1, (CASE WHEN qa IS NULL THEN 0 WHEN article = qa THEN 0.5 WHEN contains(path, lower(qa)) THEN 0.2 ELSE -10 END) + (CASE WHEN qc IS NULL THEN 0 WHEN clause = qc THEN 0.3 WHEN contains(path, lower(qc)) THEN 0.1 ELSE -10 END))) AS exact FROM cand),
+  greatest(0, least(1, (CASE WHEN qa IS NULL THEN 0 WHEN article = qa THEN 0.5 WHEN contains(path, lower(qa)) THEN 0.2 ELSE -10 END) + (CASE WHEN qc IS NULL THEN 0 WHEN clause = qc THEN 0.3 WHEN contains(path, lower(qc)) THEN 0.1 ELSE -10 END) + (CASE WHEN qp IS NULL THEN 0 WHEN point = qp THEN 0.2 WHEN contains(path, lower(qp)) THEN 0.08 ELSE -10 END))) AS exact FROM cand),
 s AS (SELECT *, hits / greatest(len(p), 1) AS cov FROM f),
-scored AS (SELECT question_id, doc_id, node_id, cov, prior, round(CASE WHEN ex THEN 0.40 * exact + 0.22 * hybrid + 0.14 * cov + 0.10 * prior + 0.06 * bonus + least(0.24, 0.24 * cov)
-  ELSE 0.42 * hybrid + 0.20 * cov + 0.10 * prior + 0.08 * bonus + least(0.24, 0.24 * cov) - CASE WHEN len(p) = 0 THEN 0 WHEN hits = 0 THEN 0.22 WHEN hits = 1 AND len(p) >= 2 THEN 0.06 ELSE 0 END END, 6) AS candidate_score FROM s)"""
+scored AS (SELECT question_id, doc_id, node_id, cov, prior, ex, exact, hybrid, bonus, qch, round(CASE WHEN ex THEN 0.40 * exact + 0.22 * hybrid + 0.14 * cov + 0.10 * prior + 0.06 * bonus + least(0.24, 0.24 * cov)
+  ELSE 0.42 * hybrid + 0.20 * cov + 0.10 * prior + 0.08 * bonus + least(0.24, 0.24 * cov) END, 6) AS passage_score, round(0.42 * hybrid + 0.20 * cov + 0.10 * prior + 0.08 * bonus + least(0.24, 0.24 * cov) - CASE WHEN len(p) = 0 THEN 0 WHEN hits = 0 THEN 0.22 WHEN hits = 1 AND len(p) >= 2 THEN 0.06 ELSE 0 END, 6) AS candidate_score FROM s)"""
 
 
-@query(SCORED + " SELECT question_id, node_id, candidate_score FROM scored")
+@query(SCORED + " SELECT question_id, node_id, passage_score AS candidate_score FROM scored")
 def r14_candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nodes(spark, sf_dir)
     return retrieval.score_candidates(_profiles(n), _candidates(n)).select("question_id", "node_id", "candidate_score")
 
 
 @query(SCORED + """, two AS (SELECT *, row_number() OVER (PARTITION BY question_id, doc_id ORDER BY candidate_score DESC, node_id) AS k FROM scored QUALIFY k <= 2),
-  d AS (SELECT question_id, doc_id, round(0.45 * max(candidate_score) + 0.25 * avg(candidate_score) + 0.20 * max(cov) + 0.10 * max(prior), 4) AS doc_score FROM two GROUP BY 1, 2),
+  d AS (SELECT question_id, doc_id, bool_or(ex) AS ex, round(0.45 * max(candidate_score) + 0.25 * avg(candidate_score) + 0.20 * max(cov) + 0.10 * max(prior), 4) AS doc_score FROM two GROUP BY 1, 2),
   r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY doc_score DESC, doc_id) AS INT) AS rank, max(doc_score) OVER (PARTITION BY question_id) AS first FROM d QUALIFY rank <= 2)
-  SELECT question_id, doc_id, doc_score, rank, first >= 0.05 AND (rank = 1 OR first - doc_score < 0.08) AS kept FROM r""")
+  SELECT question_id, doc_id, doc_score, rank, first >= 0.05 AND (rank = 1 OR (first - doc_score < 0.08 AND NOT ex)) AS kept FROM r""")
 def r16_document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nodes(spark, sf_dir)
-    return retrieval.documents_of(retrieval.score_candidates(_profiles(n), _candidates(n)))
+    return retrieval.documents_of(retrieval.score_candidates(_profiles(n), _candidates(n), mode="content"))
 
 
 def _samples(n: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every fortieth clause as a sample; its contexts are the nodes before it and the two after it."""
-    own = n.where("node_type = 'clause' and order_index % 40 = 3")
+    """Every fortieth clause or point as a sample; its contexts are the nodes before it and the two after it."""
+    own = n.where("node_type in ('clause', 'point') and order_index % 40 = 3")
     samples = own.select(F.col("node_id").alias("sample_id"), F.col("text").alias("gold"), F.concat("text", F.lit(" của "), "doc_number").alias("answer"), *KEYS)
     places = own.select(F.col("node_id").alias("sample_id"), "doc_id", F.explode(F.array(F.col("order_index") - 1, F.col("order_index") + 1, F.col("order_index") + 2)).alias("order_index"))
     contexts = places.join(n, ["doc_id", "order_index"]).select("sample_id", F.col("order_index").alias("rank"), "text", *KEYS)
     return samples, contexts
 
 
-SAMPLES = """, samples AS (SELECT node_id AS sample_id, text AS gold, text || ' của ' || doc_number AS answer, * EXCLUDE (node_id, text) FROM nodes WHERE node_type = 'clause' AND order_index % 40 = 3),
+SAMPLES = """, samples AS (SELECT node_id AS sample_id, text AS gold, text || ' của ' || doc_number AS answer, * EXCLUDE (node_id, text) FROM nodes WHERE node_type IN ('clause', 'point') AND order_index % 40 = 3),
 contexts AS (SELECT s.sample_id, n.* FROM samples s JOIN nodes n ON n.doc_id = s.doc_id AND n.order_index IN (s.order_index - 1, s.order_index + 1, s.order_index + 2))"""
 WORDS = f"list_distinct(list_filter(regexp_extract_all(lower({{}}), '[\\p{{{{L}}}}\\p{{{{N}}}}_]+'), lambda w: length(w) >= 3 AND NOT list_contains({_list(evaluation.STOPWORDS)}, w)))"
-METRICS = SAMPLES + f""", pairs AS (SELECT s.sample_id, {WORDS.format("s.gold")} AS g, {WORDS.format("coalesce(c.text, '')")} AS w, c.text, {", ".join(f"coalesce(c.{k} = s.{k}, false) AS m_{k}" for k in KEYS)} FROM samples s LEFT JOIN contexts c USING (sample_id)),
-  agg AS (SELECT sample_id, count(text) AS n, count(*) FILTER (text IS NOT NULL AND (({" AND ".join("m_" + k for k in KEYS)}) OR (len(list_intersect(g, w)) >= 2 AND len(list_intersect(g, w)) / len(g) >= 0.18))) AS rel, any_value(g) AS g, flatten(list(w)) AS held, {", ".join(f"CAST(bool_or(m_{k}) AS INT) AS x_{k}" for k in KEYS)} FROM pairs GROUP BY 1),
-  metrics AS (SELECT sample_id, round(CASE WHEN n = 0 THEN 0 ELSE ({" + ".join("x_" + k for k in KEYS)}) / 5 END, 6) AS sufficiency, round(({" + ".join(f"{w} * x_{k}" for k, w in evaluation.WEIGHTS.items())}) / 0.95, 6) AS ref_match,
-    round(CASE WHEN n = 0 THEN 0 ELSE rel / n END, 6) AS precision, round(CASE WHEN n = 0 THEN 0 ELSE (len(list_intersect(g, held)) / len(g) + ({" + ".join("x_" + k for k in KEYS)}) / 5) / 2 END, 6) AS recall FROM agg)"""
+METRICS = SAMPLES + f""", pairs AS (SELECT s.sample_id, {WORDS.format("s.gold")} AS g, {WORDS.format("coalesce(c.text, '')")} AS w, c.text, s.point IS NOT NULL AS ap, {", ".join(f"coalesce(c.{k} = s.{k}, false) AS m_{k}" for k in KEYS)} FROM samples s LEFT JOIN contexts c USING (sample_id)),
+  agg AS (SELECT sample_id, count(text) AS n, count(*) FILTER (text IS NOT NULL AND (({" AND ".join("m_" + k for k in KEYS[:5])} AND (m_point OR NOT ap)) OR (len(list_intersect(g, w)) >= 2 AND len(list_intersect(g, w)) / len(g) >= 0.18))) AS rel, any_value(g) AS g, any_value(5 + ap::INT) AS asked, any_value(0.95 + 0.05 * ap::INT) AS weight, flatten(list(w)) AS held, {", ".join(f"CAST(bool_or(m_{k}) AS INT) AS x_{k}" for k in KEYS)} FROM pairs GROUP BY 1),
+  metrics AS (SELECT sample_id, round(CASE WHEN n = 0 THEN 0 ELSE ({" + ".join("x_" + k for k in KEYS)}) / asked END, 6) AS sufficiency, round(({" + ".join(f"{w} * x_{k}" for k, w in evaluation.WEIGHTS.items())}) / weight, 6) AS ref_match,
+    round(CASE WHEN n = 0 THEN 0 ELSE rel / n END, 6) AS precision, round(CASE WHEN n = 0 THEN 0 ELSE (len(list_intersect(g, held)) / len(g) + ({" + ".join("x_" + k for k in KEYS)}) / asked) / 2 END, 6) AS recall FROM agg)"""
 
 
 @query(METRICS + " SELECT * FROM metrics")
@@ -180,8 +196,8 @@ def e04_context_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.context_metrics(*_samples(nodes(spark, sf_dir)))
 
 
-SUPPORT = r""", refs AS (SELECT DISTINCT sample_id, unnest(list_concat([lower(replace(doc_number, 'Đ', 'D'))], list_concat(list_transform(regexp_extract_all(lower(answer), 'điều (\d+)', 1), lambda x: 'điều ' || x), list_transform(regexp_extract_all(lower(answer), 'khoản (\d+)', 1), lambda x: 'khoản ' || x)))) AS ref FROM samples WHERE length(split_part(doc_number, '/', 1)) <= 4),
-  known AS (SELECT DISTINCT sample_id, unnest([lower(replace(doc_number, 'Đ', 'D')), lower(article), lower(clause)]) AS ref FROM contexts),
+SUPPORT = r""", refs AS (SELECT DISTINCT sample_id, unnest(list_concat(list_concat([lower(replace(doc_number, 'Đ', 'D'))], list_transform(regexp_extract_all(lower(answer), 'điều (\d+)', 1), lambda x: 'điều ' || x), list_transform(regexp_extract_all(lower(answer), 'khoản (\d+)', 1), lambda x: 'khoản ' || x)), list_transform(regexp_extract_all(lower(answer), 'điểm ([a-zđ])\s', 1), lambda x: 'điểm ' || x))) AS ref FROM samples WHERE length(split_part(doc_number, '/', 1)) <= 4),
+  known AS (SELECT DISTINCT sample_id, unnest([lower(replace(doc_number, 'Đ', 'D')), lower(article), lower(clause), lower(point)]) AS ref FROM contexts),
   support AS (SELECT s.sample_id, round(coalesce(a.share, 0.5), 6) AS citation_support FROM samples s LEFT JOIN (SELECT r.sample_id, count(k.ref) / count(*) AS share FROM refs r LEFT JOIN known k ON k.sample_id = r.sample_id AND k.ref = r.ref GROUP BY 1) a USING (sample_id))"""
 
 
@@ -204,32 +220,32 @@ def e12_lowest_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.report(evaluation.context_metrics(*_samples(nodes(spark, sf_dir))), NAMES)[1]
 
 
-@query(SAMPLES + " SELECT sample_id, 'q' || lpad(CAST(row_number() OVER (ORDER BY sample_id) AS VARCHAR), 5, '0') AS id, doc_number || ' ' || article || ' ' || clause AS reference FROM samples")
+@query(SAMPLES + " SELECT sample_id, 'q' || lpad(CAST(row_number() OVER (ORDER BY sample_id) AS VARCHAR), 5, '0') AS id, concat_ws(' ', doc_number, article, clause, point) AS reference FROM samples")
 def e02_prepared_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples, _ = _samples(nodes(spark, sf_dir))
-    no = F.row_number().over(Window.orderBy("sample_id"))
-    return samples.select("sample_id", F.concat(F.lit("q"), F.lpad(no.cast("string"), 5, "0")).alias("id"), F.concat_ws(" ", "doc_number", "article", "clause").alias("reference"))
+    samples, no = evaluation.numbered(samples, "sample_id"), F.col("no")
+    return samples.select("sample_id", F.concat(F.lit("q"), F.lpad(no.cast("string"), 5, "0")).alias("id"), F.concat_ws(" ", "doc_number", "article", "clause", "point").alias("reference"))
 
 
-@query(SAMPLES + " SELECT sample_id, 'point' AS field, 'missing' AS problem FROM samples")
+@query(SAMPLES + " SELECT sample_id, 'point' AS field, 'missing' AS problem FROM samples WHERE point IS NULL")
 def e01_validated_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples, _ = _samples(nodes(spark, sf_dir))
-    return evaluation.validate(samples.withColumn("point", F.lit(None).cast("string")), ["gold", "answer", "doc_number", "article", "point"])
+    return evaluation.validate(samples, ["gold", "answer", "doc_number", "article", "point"])
 
 
 ASKED = PROFILES + """, own AS (SELECT node_id AS question_id, doc_id, order_index FROM nodes WHERE node_type = 'clause' AND order_index % 40 = 3),
-  passages AS (SELECT o.question_id, n.text, n.doc_number, n.article, n.clause FROM own o JOIN nodes n ON n.doc_id = o.doc_id AND n.order_index IN (o.order_index - 1, o.order_index))"""
+  passages AS (SELECT o.question_id, n.text, n.doc_number, n.article, n.clause, n.point FROM own o JOIN nodes n ON n.doc_id = o.doc_id AND n.order_index IN (o.order_index - 1, o.order_index))"""
 
 
 def _passages(n: DataFrame) -> DataFrame:
     own = n.where("node_type = 'clause' and order_index % 40 = 3").select(F.col("node_id").alias("question_id"), "doc_id", F.explode(F.array(F.col("order_index") - 1, F.col("order_index"))).alias("order_index"))
-    return own.join(n, ["doc_id", "order_index"]).select("question_id", "text", "doc_number", "article", "clause")
+    return own.join(n, ["doc_id", "order_index"]).select("question_id", "text", "doc_number", "article", "clause", "point")
 
 
-@query(ASKED + r""", w AS (SELECT question_id, doc_number, article, clause, list_distinct(list_filter(regexp_extract_all(lower(question), '[\p{L}\p{N}_]+'), lambda x: length(x) >= 4)) AS w FROM profiles),
-  g AS (SELECT w.question_id, count(p.text) AS n, bool_or(coalesce(w.doc_number = p.doc_number, false)) AS md, bool_or(coalesce(w.article = p.article, false)) AS ma, bool_or(coalesce(w.clause = p.clause, false)) AS mc, any_value(w.doc_number) AS qd, any_value(w.article) AS qa, any_value(w.clause) AS qc, any_value(len(w)) AS asked,
+@query(ASKED + r""", w AS (SELECT question_id, doc_number, article, clause, point, list_distinct(list_filter(regexp_extract_all(lower(question), '[\p{L}\p{N}_]+'), lambda x: length(x) >= 4)) AS w FROM profiles),
+  g AS (SELECT w.question_id, count(p.text) AS n, bool_or(coalesce(w.doc_number = p.doc_number, false)) AS md, bool_or(coalesce(w.article = p.article, false)) AS ma, bool_or(coalesce(w.clause = p.clause, false)) AS mc, bool_or(coalesce(w.point = p.point, false)) AS mp, any_value(w.point) AS qp, any_value(w.doc_number) AS qd, any_value(w.article) AS qa, any_value(w.clause) AS qc, any_value(len(w)) AS asked,
     len(list_distinct(flatten(list(list_filter(w, lambda x: contains(lower(p.text), x)))))) AS hits FROM w LEFT JOIN passages p USING (question_id) GROUP BY 1),
-  r AS (SELECT question_id, CASE WHEN n = 0 THEN 'no_passages' WHEN qd IS NOT NULL AND NOT md THEN 'requested_doc_number_not_found' WHEN qa IS NOT NULL AND NOT ma THEN 'requested_article_not_found' WHEN qc IS NOT NULL AND NOT mc THEN 'requested_clause_not_found' WHEN asked = 0 OR hits >= greatest(1, least(3, floor(asked / 4))) THEN 'matched_retrieved_context' ELSE 'no_relevant_text' END AS reason FROM g)
+  r AS (SELECT question_id, CASE WHEN n = 0 THEN 'no_passages' WHEN qd IS NOT NULL AND NOT md THEN 'requested_doc_number_not_found' WHEN qa IS NOT NULL AND NOT ma THEN 'requested_article_not_found' WHEN qc IS NOT NULL AND NOT mc THEN 'requested_clause_not_found' WHEN qp IS NOT NULL AND NOT mp THEN 'requested_point_not_found' WHEN asked = 0 OR hits >= greatest(1, least(3, floor(asked / 4))) THEN 'matched_retrieved_context' ELSE 'no_relevant_text' END AS reason FROM g)
   SELECT question_id, reason, CASE WHEN reason = 'matched_retrieved_context' THEN 'sufficient' ELSE 'insufficient' END AS status FROM r""")
 def a01_context_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nodes(spark, sf_dir)
@@ -238,7 +254,7 @@ def a01_context_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ASKED + r""", ans AS (SELECT node_id AS question_id, text || ' theo ' || doc_number AS answer FROM nodes WHERE node_type = 'clause' AND order_index % 40 = 3),
   refs AS (SELECT DISTINCT question_id, unnest(list_concat(list_transform(regexp_extract_all(upper(answer), '\b(\d{1,4}/\d{4}/[A-ZĐ\-]+)', 1), lambda x: lower(x)), list_concat(list_transform(regexp_extract_all(lower(answer), 'điều (\d+)', 1), lambda x: 'điều ' || x), list_transform(regexp_extract_all(lower(answer), 'khoản (\d+)', 1), lambda x: 'khoản ' || x)))) AS ref FROM ans),
-  known AS (SELECT DISTINCT question_id, unnest([lower(doc_number), lower(article), lower(clause)]) AS ref FROM passages)
+  known AS (SELECT DISTINCT question_id, unnest([lower(doc_number), lower(article), lower(clause), lower(point)]) AS ref FROM passages)
   SELECT a.question_id, count(r.ref) AS n_refs, count(r.ref) FILTER (k.ref IS NULL) AS n_unsupported, count(r.ref) FILTER (k.ref IS NULL) = 0 AS valid FROM ans a LEFT JOIN refs r USING (question_id) LEFT JOIN known k ON k.question_id = r.question_id AND k.ref = r.ref GROUP BY 1""")
 def a02_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nodes(spark, sf_dir)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from juriloom.operators import navigation, planning, retrieval
 from juriloom.plans.corpus import NODES_SQL, nodes, table
-from juriloom.plans.rag_queries import PROFILES, QUESTIONS, SAME, questions
+from juriloom.plans.rag_queries import PHRASES, PROFILES, QUESTIONS, TARGETS, questions
 
 QUERIES, ORACLES = {}, {}
 
@@ -21,28 +21,86 @@ def query(sql: str | None = None):
     return add
 
 
-WALKED = PROFILES + f""", m AS (SELECT q.question_id, q.clause AS qc, n.node_id, n.doc_id, n.order_index, count(*) OVER (PARTITION BY q.question_id) AS k, q.doc_number IS NOT NULL OR q.law_type IS NOT NULL OR q.year IS NOT NULL AS named
-  FROM profiles q JOIN nodes n ON n.article = q.article AND n.node_type = CASE WHEN q.clause IS NOT NULL THEN 'clause' ELSE 'article' END AND {" AND ".join(SAME[k] for k in ("clause", "doc_number", "law_type", "year"))}),
-  start AS (SELECT question_id, qc, node_id, row_number() OVER (PARTITION BY question_id ORDER BY order_index, doc_id) AS rank FROM m WHERE k = 1 OR named QUALIFY rank <= 8),
-  onward AS (SELECT s.question_id, s.node_id FROM start s WHERE rank = 1 AND qc IS NULL AND EXISTS (SELECT 1 FROM nodes c WHERE c.parent_id = s.node_id)),
-  walked AS (SELECT question_id, node_id, rank, 0 AS hops FROM start WHERE question_id NOT IN (SELECT question_id FROM onward)
-    UNION ALL SELECT o.question_id, c.node_id, row_number() OVER (PARTITION BY o.question_id ORDER BY c.order_index, c.node_id), 1 FROM onward o JOIN nodes c ON c.parent_id = o.node_id)"""
+_WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')".replace("\\\\", "\\")
 
 
-def _walked(n: DataFrame) -> DataFrame:
+def _hop(h: int) -> str:
+    """One hop for all questions: who goes on, to which nodes, and their order by BM25 and phrases."""
+    return rf""", top{h} AS (SELECT s.question_id, s.node_id, s.rank, f.n_children, f.node_type, f.order_index, f.header_only, w.may FROM state{h} s JOIN facts f USING (node_id) JOIN asked w USING (question_id) WHERE s.rank <= 4),
+  first{h} AS (SELECT question_id, may AND n_children > 0 AS deepens, node_type IN ('point', 'decimal_item', 'list_item', 'bullet') AS in_list FROM top{h} WHERE rank = 1),
+  heads{h} AS (SELECT question_id, bool_or(header_only) AS heads FROM top{h} GROUP BY 1),
+  onward{h} AS (SELECT t.question_id, t.node_id FROM top{h} t JOIN first{h} USING (question_id) JOIN heads{h} USING (question_id) WHERE CASE WHEN deepens AND in_list THEN n_children > 0 WHEN deepens THEN rank = 1 ELSE heads END),
+  kids{h} AS (SELECT DISTINCT o.question_id, c.node_id, c.doc_id, c.order_index, c.path_title, c.text FROM onward{h} o JOIN nodes c ON c.parent_id = o.node_id),
+  related{h} AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY doc_id, order_index, node_id) AS INT) AS place, {h} AS hop FROM kids{h}),
+  scored{h} AS (SELECT r.question_id, r.node_id, r.place, round(list_sum(list_transform(w, lambda x: 2.5 * len(list_filter(t, lambda y: y = x)) / (len(list_filter(t, lambda y: y = x)) + 1.5 * (0.25 + 0.75 * len(t))))) + 4 * len(list_filter(p, lambda x: contains(hay, x))) + CASE WHEN len(list_filter(w[1:4], lambda x: NOT contains(hay, x))) = 0 THEN 2 ELSE 0 END, 6) AS score
+    FROM (SELECT r.*, a.w, a.p, {_WORDS.format("r.text")} AS t, lower(concat_ws(' ', r.path_title, r.text)) AS hay FROM related{h} r JOIN asked a USING (question_id) WHERE r.place <= 24) r),
+  state{h + 1} AS (SELECT question_id, node_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, place) AS INT) AS rank, {h + 1} AS hops FROM scored{h} QUALIFY rank <= 12)"""
+
+
+COMPACT = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')".replace("\\\\", "\\")
+WALKED = PROFILES + ", " + PHRASES + TARGETS + f""", facts AS (SELECT n.node_id, n.node_type, n.order_index, coalesce(k.n, 0) AS n_children, coalesce(k.n, 0) > 0 AND contains({COMPACT.format("path_title")}, {COMPACT.format("text")}) AS header_only FROM nodes n LEFT JOIN (SELECT parent_id, count(*) AS n FROM nodes GROUP BY 1) k ON k.parent_id = n.node_id),
+  asked AS (SELECT question_id, w, p, clause IS NULL AND point IS NULL AS may FROM phrases), state0 AS (SELECT *, 0 AS hops FROM start){"".join(map(_hop, range(3)))},
+  walked AS ({" UNION ALL ".join(f"SELECT question_id, node_id, rank, hops FROM state{h}" + (f" WHERE question_id NOT IN (SELECT question_id FROM onward{h})" if h < 3 else "") for h in range(4))}),
+  every_relation AS ({" UNION ALL ".join(f"SELECT question_id, node_id, place, hop FROM related{h}" for h in range(3))}),
+  relations AS (SELECT * FROM every_relation QUALIFY hop = max(hop) OVER (PARTITION BY question_id)),
+  scopes AS (SELECT p.question_id, CASE WHEN lists <> '' THEN 'list' WHEN contains(key, 'la gi') THEN 'definition' ELSE 'exact' END AS scope FROM profiles p JOIN keyed k ON k.question_id = p.question_id)"""
+
+
+def _walked(n: DataFrame) -> tuple[DataFrame, DataFrame]:
     p = planning.profile(questions(n))
     return navigation.navigate(p, n, retrieval.direct_targets(p, n))
 
 
-@query(WALKED + " SELECT question_id, node_id, CAST(rank AS INT) AS rank, hops, 'answer' AS action FROM walked WHERE rank <= 12")
+@query(WALKED + " SELECT question_id, node_id, rank, hops, 'answer' AS action FROM walked")
 def r28_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _walked(nodes(spark, sf_dir))
+    return _walked(nodes(spark, sf_dir))[0]
+
 
+EVIDENCE = WALKED + """, lists AS (SELECT question_id, node_id, place, 'children' AS answer_source FROM relations JOIN scopes USING (question_id) WHERE scope = 'list'),
+  own AS (SELECT question_id, node_id, rank AS place, 'own_text' AS answer_source FROM walked JOIN scopes USING (question_id) WHERE rank <= CASE WHEN scope IN ('exact', 'definition') THEN 2 ELSE 4 END AND question_id NOT IN (SELECT question_id FROM lists)),
+  hops AS (SELECT question_id, max(hops) AS hops FROM walked GROUP BY 1), evidence AS (SELECT e.*, hops, 'primary' AS role FROM (SELECT * FROM lists UNION ALL SELECT * FROM own) e JOIN hops USING (question_id))"""
 
-@query(WALKED + " SELECT question_id, node_id, CAST(rank AS INT) AS rank, hops, CASE WHEN rank = 1 THEN 'primary' ELSE 'supporting' END AS role, text AS snippet FROM walked JOIN nodes USING (node_id) WHERE rank <= 4")
+
+@query(EVIDENCE + " SELECT question_id, node_id, place, hops, role, answer_source, text AS snippet FROM evidence JOIN nodes USING (node_id)")
 def r30_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nodes(spark, sf_dir)
-    return navigation.evidence(_walked(n), n)
+    return navigation.evidence(*_walked(n), questions(n).select("question_id", planning.scope().alias("scope")), n)
+
+
+SELECTED = ", sel AS (SELECT 'q' || (order_index % 7) || doc_id AS question_id, node_id, parent_id, doc_id, CAST(row_number() OVER (PARTITION BY doc_id, order_index % 7 ORDER BY order_index) AS INT) AS rank FROM nodes WHERE order_index % 7 IN (1, 4) QUALIFY rank <= 3)"
+
+
+def _selected(n: DataFrame) -> DataFrame:
+    picked = n.where("order_index % 7 in (1, 4)").withColumn("question_id", F.concat(F.lit("q"), F.col("order_index") % 7, "doc_id"))
+    return picked.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("order_index"))).where("rank <= 3").select("question_id", "node_id", "rank")
+
+
+@query(SELECTED + """, family AS (SELECT DISTINCT 'children' AS answer_source, s.question_id, c.node_id FROM sel s JOIN nodes c ON c.parent_id = s.node_id UNION SELECT DISTINCT 'siblings', s.question_id, c.node_id FROM sel s JOIN nodes c ON c.parent_id = s.parent_id UNION SELECT DISTINCT 'parent', s.question_id, s.parent_id FROM sel s WHERE s.parent_id IS NOT NULL),
+  headed AS (SELECT question_id, answer_source, node_id, rank AS place, concat_ws(chr(10), nullif(path_title, ''), CASE WHEN text <> path_title THEN text END) AS text FROM (SELECT s.*, n.path_title, n.text, 'title_or_heading' AS answer_source FROM sel s JOIN nodes n USING (node_id)
+    UNION ALL SELECT DISTINCT s.question_id, n.node_id, n.parent_id, s.doc_id, 1, n.path_title, n.text, 'parent_heading' FROM sel s JOIN nodes n ON n.node_id = s.doc_id WHERE s.node_id <> s.doc_id))
+  SELECT question_id, answer_source, f.node_id, CAST(row_number() OVER (PARTITION BY question_id, answer_source ORDER BY n.doc_id, n.order_index) AS INT) AS place, n.text FROM family f JOIN nodes n USING (node_id)
+  UNION ALL SELECT question_id, 'own_text', s.node_id, rank, n.text FROM sel s JOIN nodes n USING (node_id) UNION ALL SELECT question_id, answer_source, node_id, place, text FROM headed""")
+def r29_evidence_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = nodes(spark, sf_dir)
+    chosen, out = _selected(n), None
+    for source in ("own_text", "title_or_heading", "parent_heading", "children", "siblings", "parent"):
+        found = navigation.evidence_by_source(chosen, n, source)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+DECISIONS = "CASE order_index % 4 WHEN 0 THEN 'deepen_node' ELSE 'answer_now' END AS decision, CASE order_index % 5 WHEN 0 THEN 'children' WHEN 1 THEN 'siblings' WHEN 2 THEN 'parent' ELSE 'own_text' END AS answer_source, CASE WHEN order_index % 3 = 0 THEN 0.5 ELSE 0.9 END AS confidence"
+
+
+@query(f""", b AS (SELECT n.node_id, {DECISIONS}, coalesce(k.n, 0) AS nk, coalesce(f.n, 0) AS nf, n.parent_id, coalesce(k.n, 0) > 0 AND contains({COMPACT.format("path_title")}, {COMPACT.format("text")}) AS ho FROM nodes n LEFT JOIN (SELECT parent_id, count(*) AS n FROM nodes GROUP BY 1) k ON k.parent_id = n.node_id LEFT JOIN (SELECT parent_id, count(*) AS n FROM nodes GROUP BY 1) f ON f.parent_id = n.parent_id),
+  r AS (SELECT *, CASE WHEN nk = 0 AND nf > 1 THEN 'fetch_siblings' WHEN nk > 0 THEN 'deepen_node' WHEN parent_id IS NOT NULL THEN 'fetch_parent_summary' END AS rel FROM b),
+  u AS (SELECT *, confidence < 0.6 AND rel IS NOT NULL AND rel <> decision AS unsure FROM r), a AS (SELECT *, CASE WHEN unsure THEN rel ELSE decision END AS act FROM u)
+  SELECT node_id, CASE WHEN act = 'answer_now' AND answer_source <> 'own_text' THEN CASE answer_source WHEN 'children' THEN 'deepen_node' WHEN 'siblings' THEN 'fetch_siblings' ELSE 'fetch_parent_summary' END WHEN act = 'answer_now' AND ho THEN 'deepen_node' ELSE act END AS action,
+    CASE WHEN act = 'answer_now' AND answer_source <> 'own_text' THEN 'answer_source_requires_relation' WHEN act = 'answer_now' AND ho THEN 'header_only_node_needs_children' WHEN unsure THEN 'low_confidence_graph_relation' ELSE '' END AS reason FROM a""")
+def r27_adjusted_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions made up for every node, as a model would give them."""
+    facts = navigation.node_facts(nodes(spark, sf_dir)).selectExpr("*", *(x.strip() for x in ("n_children = 0 AS leaf", "IF(parent_id IS NULL, 0, n_siblings + 1) AS n_family", "parent_id IS NOT NULL AS has_parent", "true AS judged")), *DECISIONS.replace(" AS decision, ", " AS decision;").replace(" AS answer_source, ", " AS answer_source;").split(";"))
+    return facts.select("node_id", navigation.adjusted().alias("x")).select("node_id", "x.*")
 
 
 @query(QUESTIONS + r""", d AS (SELECT doc_id, upper(doc_number) AS number FROM nodes WHERE node_type = 'document'), q AS (SELECT question_id, regexp_extract(upper(question), '\b(\d{1,4}/\d{4}/[A-ZĐ\-]+)', 1) AS number FROM questions)
