@@ -24,10 +24,13 @@ def doc_number_key(x: Column | str) -> Column:
     return F.regexp_replace(F.translate(F.upper(F.trim(x)), "Đ", "D"), "^0+(?=[0-9])", "")
 
 
+def _value(filter_name: str) -> Column:
+    return doc_number_key(filter_name) if filter_name == "doc_number" else F.lower(F.col(filter_name).cast("string"))
+
+
 def _key(keys: Column) -> Column:
     """One text for the values that ``keys``, an array of names of filters, selects, with the names."""
-    value = lambda k: doc_number_key(k) if k == "doc_number" else F.lower(F.col(k).cast("string"))
-    return F.concat_ws("\u0001", F.array_join(keys, ","), *[F.when(F.array_contains(keys, k), value(k)) for k in FILTERS])
+    return F.concat_ws("\u0001", F.array_join(keys, ","), *[F.when(F.array_contains(keys, k), _value(k)) for k in FILTERS])
 
 
 def _named(keys: list[str]) -> Column:
@@ -40,13 +43,23 @@ def _sets(asked: DataFrame) -> list[list[str]]:
     return [r["keys"] for r in asked.select("keys").distinct().collect()]
 
 
-def _keyed(nodes: DataFrame, sets: list[list[str]], *columns: str) -> DataFrame:
-    """Rows (columns, key) of nodes, one for each of the sets of filters whose values a node has."""
-    each = [F.when(F.size(_named(keys)) == len(keys), _key(F.array(*map(F.lit, keys)))) for keys in sets]
-    return nodes.select(*columns, F.explode(F.array_compact(F.array(*each, F.lit(None).cast("string")))).alias("key"))
+def _keyed(nodes: DataFrame, sets: list[tuple[str, list[str]]], *columns: str) -> DataFrame:
+    """Rows (columns, kind, key) of nodes, one for each (kind, filters) of ``sets`` that fits a node and whose values it has.
+
+    A kind is a type of nodes; "" stands for any type, "heading" for those that head others.
+    """
+    plain = nodes.select(*columns, "node_type", *[_value(k).alias(f"_{k}") for k in FILTERS])
+    of_kind = lambda kind: F.lit(True) if not kind else F.col("node_type").isin(HEADING_TYPES) if kind == "heading" else F.col("node_type") == kind
+    each = [F.when(_all([of_kind(kind), *[F.col(f"_{k}").isNotNull() for k in keys]]), F.struct(F.lit(kind).alias("kind"), F.concat_ws("\u0001", F.lit(",".join(keys)), *[f"_{k}" for k in FILTERS if k in keys]).alias("key"))) for kind, keys in sets]
+    nothing = F.lit(None).cast("struct<kind:string,key:string>")
+    return plain.select(*columns, F.explode(F.array_compact(F.array(*each, nothing))).alias("x")).select(*columns, "x.*")
+
+
+def _all(flags: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, flags)
 
 
-def levels(profiles: DataFrame, groups: Callable[[list[list[str]]], DataFrame]) -> DataFrame:
+def levels(profiles: DataFrame, groups: Callable[[list[tuple[str, list[str]]]], DataFrame]) -> DataFrame:
     """(question_id, level, key): the first level of each question whose key a node has.
 
     A level's key holds the values of those of its filters that a question names. groups(sets) gives the distinct keys
@@ -56,7 +69,7 @@ def levels(profiles: DataFrame, groups: Callable[[list[list[str]]], DataFrame])
     usable = F.filter(F.array(*each), lambda x: (F.size(x["keys"]) > 0) & ((x["level_no"] > 3) | F.col("doc_number").isNotNull()))
     asked = profiles.select("question_id", *FILTERS, F.explode(usable).alias("x")).select("question_id", *FILTERS, "x.*")
     asked = asked.select("question_id", "level_no", "level", "keys", _key(F.col("keys")).alias("key"))
-    met = asked.drop("keys").join(groups(_sets(asked)).select("key"), "key")
+    met = asked.drop("keys").join(groups([("", keys) for keys in _sets(asked)]).select("key"), "key")
     return met.groupBy("question_id").agg(F.min(F.struct("level_no", "level", "key")).alias("x")).select("question_id", "x.level", "x.key")
 
 
@@ -66,21 +79,21 @@ def ladder(profiles: DataFrame, nodes: DataFrame) -> DataFrame:
     Levels are chosen by the nodes' distinct keys; nodes are joined for the chosen level alone. A question without
     filters, or that no level fits, has no rows here: it searches all nodes.
     """
-    found: dict[str, list[list[str]]] = {}
+    found: dict[str, list] = {}
 
-    def groups(sets: list[list[str]]) -> DataFrame:
+    def groups(sets: list) -> DataFrame:
         found["sets"] = sets
         return _keyed(nodes, sets).distinct()
 
     chosen = levels(profiles, groups)
-    return chosen.join(_keyed(nodes, found["sets"], "node_id", "doc_id", "order_index"), "key").drop("key")
+    return chosen.join(_keyed(nodes, found["sets"], "node_id", "doc_id", "order_index"), "key").drop("key", "kind")
 
 
 def ladder_counts(profiles: DataFrame, nodes: DataFrame) -> DataFrame:
     """(question_id, level, n_nodes, first_id, last_id): the same, with nodes counted by key before they meet questions."""
     found: dict[str, DataFrame] = {}
 
-    def groups(sets: list[list[str]]) -> DataFrame:
+    def groups(sets: list) -> DataFrame:
         found["counts"] = _keyed(nodes, sets, "node_id").groupBy("key").agg(F.count("*").alias("n_nodes"), F.min("node_id").alias("first_id"), F.max("node_id").alias("last_id"))
         return found["counts"]
 
@@ -95,23 +108,15 @@ def direct_targets(profiles: DataFrame, nodes: DataFrame, most: int = 8, heading
     headings. All nodes with one set of values have one key; they are counted and ranked by key, so questions meet
     ``most`` rows each.
     """
-    kind = F.when(F.col("point").isNotNull(), "point").when(F.col("clause").isNotNull(), "clause").when(F.col("article").isNotNull(), "article").when(F.col("doc_number").isNotNull(), "")
-    asked = profiles.select("question_id", *FILTERS, kind.alias("kind"), _named(FILTERS).alias("keys")).where("kind is not null")
-    # the kind follows from the filters, but that a document alone may go with its kind and year and asks for headings
-    asked = asked.withColumn("keys", F.when(F.col("kind") == "", F.array(F.lit("doc_number"))).otherwise(F.col("keys"))).select("question_id", "kind", "keys", _key(F.col("keys")).alias("key"))
-    sets, parts = _sets(asked), []
-    for of_kind, chosen in (("point", [k for k in sets if "point" in k]), ("clause", [k for k in sets if "clause" in k and "point" not in k]), ("article", [k for k in sets if "article" in k and not {"clause", "point"} & set(k)]), ("", [k for k in sets if k == ["doc_number"]])):
-        if chosen:
-            rows = nodes.where(F.col("node_type") == of_kind) if of_kind else nodes.where(F.col("node_type").isin(HEADING_TYPES))
-            parts.append(_keyed(rows, chosen, "node_id", "doc_id", "order_index").withColumn("kind", F.lit(of_kind)).withColumn("vague", ~F.col("key").rlike("^[^\u0001]*(doc_number|law_type|year)")))
-    if not parts:
-        return asked.select("question_id", F.lit(None).cast("string").alias("node_id"), F.lit(1).alias("rank")).limit(0)
-    keyed = reduce(DataFrame.unionByName, parts)
+    kind = F.when(F.col("point").isNotNull(), "point").when(F.col("clause").isNotNull(), "clause").when(F.col("article").isNotNull(), "article").when(F.col("doc_number").isNotNull(), "heading")
+    named = F.when(kind == "heading", F.array(F.lit("doc_number"))).otherwise(_named(FILTERS))
+    asked = profiles.select("question_id", *FILTERS, kind.alias("kind"), named.alias("keys")).where("kind is not null").select("question_id", "kind", "keys", _key(F.col("keys")).alias("key"))
+    keyed = _keyed(nodes, [(r["kind"], r["keys"]) for r in asked.select("kind", "keys").distinct().collect()], "node_id", "doc_id", "order_index")  # some dozens at most
     place = F.row_number().over(Window.partitionBy("kind", "key").orderBy("order_index", "doc_id"))
-    first = keyed.withColumn("rank", place).where(F.col("rank") <= max(most, headings)).where(F.col("rank") <= F.when(F.col("kind") == "", headings).otherwise(most))
-    several = keyed.where("vague").groupBy("kind", "key").count().where("count > 1").select("kind", "key")
-    first = first.join(several, ["kind", "key"], "left_anti")
-    return asked.join(first, ["kind", "key"]).select("question_id", "node_id", "rank")
+    first = keyed.withColumn("rank", place).where(F.col("rank") <= max(most, headings)).where(F.col("rank") <= F.when(F.col("kind") == "heading", headings).otherwise(most))
+    vague = ~F.split("key", "\u0001")[0].rlike("doc_number|law_type|year")
+    several = keyed.where(vague).groupBy("kind", "key").count().where("count > 1").select("kind", "key")
+    return asked.join(first.join(several, ["kind", "key"], "left_anti"), ["kind", "key"]).select("question_id", "node_id", "rank")
 
 
 def reference_exact() -> Column:

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from juriloom.functions import text as T
+from juriloom.lineage import cut
 from juriloom.operators import answers, lexical, navigation, planning, retrieval, versioning
 from juriloom.plans.corpus import EDGES_SQL, NODES_SQL, edges, nodes, table
 from juriloom.plans.graph_queries import CLOSURE, EVENTS, VERSIONS
@@ -89,7 +90,7 @@ HEAD = PROFILES + """, hq AS (SELECT question_id, doc_number, list_distinct(list
 @query(HEAD + " SELECT question_id, node_id AS doc, score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, node_id) AS INT) AS rank FROM hs WHERE score >= 0.55 QUALIFY rank <= 5")
 def r05_heading_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings of the named document by shared words and depth."""
-    n = nodes(spark, sf_dir)
+    n = cut(nodes(spark, sf_dir))
     words = lambda c: F.array_distinct(F.filter(T.tokens(T.ascii_key(c)), lambda w: F.length(w) >= 2))
     asked = planning.profile(questions(n)).where("doc_number is not null").select("question_id", "doc_number", words("question").alias("qw"))
     heads = n.where("node_type = 'article'").select("node_id", "doc_number", "level", words("text").alias("nw"))
@@ -178,23 +179,23 @@ def _shown(n: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @query(SHOWN + " SELECT question_id, node_id, place FROM shown")
 def a03_selected_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(nodes(spark, sf_dir))[1].select("question_id", "node_id", "place")
+    return _shown(cut(nodes(spark, sf_dir)))[1].select("question_id", "node_id", "place")
 
 
 @query(SHOWN + " SELECT DISTINCT question_id, node_id, text[1:700] AS snippet FROM shown")
 def a05_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answers.sources(_shown(nodes(spark, sf_dir))[1])
+    return answers.sources(_shown(cut(nodes(spark, sf_dir)))[1])
 
 
 @query(SHOWN + f" SELECT a.question_id, md5(CASE scope {' '.join(f'''WHEN '{k}' THEN '{v}' ''' for k, v in answers.INSTRUCTIONS.items())} END || chr(10) || chr(10) || 'Câu hỏi: ' || question || chr(10) || chr(10) || 'Căn cứ:' || chr(10) || coalesce(context, '')) AS prompt_md5 FROM shown_to a LEFT JOIN blocks USING (question_id)")
 def a06_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, shown = _shown(nodes(spark, sf_dir))
+    asked, shown = _shown(cut(nodes(spark, sf_dir)))
     return answers.prompts(asked, answers.contexts(shown)).select("question_id", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
 
 
 @query(SHOWN + f" SELECT a.question_id, coalesce(s.text, '{answers.REFUSAL}') AS answer FROM shown_to a LEFT JOIN shown s ON s.question_id = a.question_id AND s.place = 1")
 def a07_extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, shown = _shown(nodes(spark, sf_dir))
+    asked, shown = _shown(cut(nodes(spark, sf_dir)))
     return answers.answer(asked, shown)
 
 
@@ -205,7 +206,7 @@ RETRY = """, f AS (SELECT node_id AS question_id, doc_id FROM nodes WHERE node_t
 @query(RETRY)
 def a10_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first articles of a document; a second try with more of them where it has not just five."""
-    n = nodes(spark, sf_dir)
+    n = cut(nodes(spark, sf_dir))
     asked = n.where("node_type = 'clause' and order_index % 40 = 3").select(F.col("node_id").alias("question_id"), "doc_id")
     total = n.where("node_type = 'article'").groupBy("doc_id").agg(F.count("*").alias("n_all"))
 

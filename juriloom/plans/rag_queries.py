@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from juriloom.functions.text import tokens
+from juriloom.lineage import cut
 from juriloom.operators import evaluation, planning, retrieval
 from juriloom.plans.corpus import NODES_SQL, nodes
 from juriloom.plans.lexical_queries import STOP_SQL
@@ -113,14 +114,14 @@ ladder AS (SELECT * FROM (SELECT * FROM own UNION ALL SELECT * FROM other) QUALI
 
 @query(PROFILES + LADDER + " SELECT question_id, name AS level, CAST(sum(n) AS BIGINT) AS n_nodes, min(low) AS first_id, max(high) AS last_id FROM ladder GROUP BY 1, 2")
 def r02_filter_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir)
+    n = cut(nodes(spark, sf_dir))
     return retrieval.ladder_counts(_profiles(n), n)
 
 
 @query(PROFILES + LADDER + ", named AS (SELECT question_id FROM profiles WHERE doc_number IS NOT NULL) SELECT question_id, name AS level, CAST(sum(n) AS BIGINT) AS n_nodes FROM ladder WHERE question_id IN (SELECT question_id FROM named) GROUP BY 1, 2")
 def r03_filtered_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes themselves, for questions that name a document."""
-    n = nodes(spark, sf_dir)
+    n = cut(nodes(spark, sf_dir))
     return retrieval.ladder(_profiles(n).where("doc_number is not null"), n).groupBy("question_id", "level").agg(F.countDistinct("node_id").alias("n_nodes"))
 
 
@@ -133,7 +134,7 @@ TARGETS = f""", m AS (SELECT q.question_id, n.node_id, n.doc_id, n.order_index,
 
 @query(PROFILES + TARGETS + " SELECT * FROM start")
 def r04_direct_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir)
+    n = cut(nodes(spark, sf_dir))
     return retrieval.direct_targets(_profiles(n), n)
 
 
@@ -160,7 +161,7 @@ scored AS (SELECT question_id, doc_id, node_id, cov, prior, ex, exact, hybrid, b
 
 @query(SCORED + " SELECT question_id, node_id, passage_score AS candidate_score FROM scored")
 def r14_candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir)
+    n = cut(nodes(spark, sf_dir))
     return retrieval.score_candidates(_profiles(n), _candidates(n)).select("question_id", "node_id", "candidate_score")
 
 
@@ -169,7 +170,7 @@ def r14_candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
   r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY doc_score DESC, doc_id) AS INT) AS rank, max(doc_score) OVER (PARTITION BY question_id) AS first FROM d QUALIFY rank <= 2)
   SELECT question_id, doc_id, doc_score, rank, first >= 0.05 AND (rank = 1 OR (first - doc_score < 0.08 AND NOT ex)) AS kept FROM r""")
 def r16_document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir)
+    n = cut(nodes(spark, sf_dir))
     return retrieval.documents_of(retrieval.score_candidates(_profiles(n), _candidates(n), mode="content"))
 
 
@@ -248,7 +249,7 @@ def _passages(n: DataFrame) -> DataFrame:
   r AS (SELECT question_id, CASE WHEN n = 0 THEN 'no_passages' WHEN qd IS NOT NULL AND NOT md THEN 'requested_doc_number_not_found' WHEN qa IS NOT NULL AND NOT ma THEN 'requested_article_not_found' WHEN qc IS NOT NULL AND NOT mc THEN 'requested_clause_not_found' WHEN qp IS NOT NULL AND NOT mp THEN 'requested_point_not_found' WHEN asked = 0 OR hits >= greatest(1, least(3, floor(asked / 4))) THEN 'matched_retrieved_context' ELSE 'no_relevant_text' END AS reason FROM g)
   SELECT question_id, reason, CASE WHEN reason = 'matched_retrieved_context' THEN 'sufficient' ELSE 'insufficient' END AS status FROM r""")
 def a01_context_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir)
+    n = cut(nodes(spark, sf_dir))
     return retrieval.grade(_profiles(n), _passages(n))
 
 
@@ -257,7 +258,7 @@ def a01_context_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
   known AS (SELECT DISTINCT question_id, unnest([lower(doc_number), lower(article), lower(clause), lower(point)]) AS ref FROM passages)
   SELECT a.question_id, count(r.ref) AS n_refs, count(r.ref) FILTER (k.ref IS NULL) AS n_unsupported, count(r.ref) FILTER (k.ref IS NULL) = 0 AS valid FROM ans a LEFT JOIN refs r USING (question_id) LEFT JOIN known k ON k.question_id = r.question_id AND k.ref = r.ref GROUP BY 1""")
 def a02_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir)
+    n = cut(nodes(spark, sf_dir))
     answers = n.where("node_type = 'clause' and order_index % 40 = 3").select(F.col("node_id").alias("question_id"), F.concat("text", F.lit(" theo "), "doc_number").alias("answer"))
     return retrieval.citations(answers, _passages(n))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from juriloom.lineage import cut
 from juriloom.operators import navigation, planning, retrieval
 from juriloom.plans.corpus import NODES_SQL, nodes, table
 from juriloom.plans.rag_queries import PHRASES, PROFILES, QUESTIONS, TARGETS, questions
@@ -63,7 +64,7 @@ EVIDENCE = WALKED + """, lists AS (SELECT question_id, node_id, place, 'children
 
 @query(EVIDENCE + " SELECT question_id, node_id, place, hops, role, answer_source, text AS snippet FROM evidence JOIN nodes USING (node_id)")
 def r30_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir)
+    n = cut(nodes(spark, sf_dir))
     return navigation.evidence(*_walked(n), questions(n).select("question_id", planning.scope().alias("scope")), n)
 
 
@@ -81,7 +82,7 @@ def _selected(n: DataFrame) -> DataFrame:
   SELECT question_id, answer_source, f.node_id, CAST(row_number() OVER (PARTITION BY question_id, answer_source ORDER BY n.doc_id, n.order_index) AS INT) AS place, n.text FROM family f JOIN nodes n USING (node_id)
   UNION ALL SELECT question_id, 'own_text', s.node_id, rank, n.text FROM sel s JOIN nodes n USING (node_id) UNION ALL SELECT question_id, answer_source, node_id, place, text FROM headed""")
 def r29_evidence_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir)
+    n = cut(nodes(spark, sf_dir))
     chosen, out = _selected(n), None
     for source in ("own_text", "title_or_heading", "parent_heading", "children", "siblings", "parent"):
         found = navigation.evidence_by_source(chosen, n, source)
@@ -106,7 +107,7 @@ def r27_adjusted_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(QUESTIONS + r""", d AS (SELECT doc_id, upper(doc_number) AS number FROM nodes WHERE node_type = 'document'), q AS (SELECT question_id, regexp_extract(upper(question), '\b(\d{1,4}/\d{4}/[A-ZĐ\-]+)', 1) AS number FROM questions)
   SELECT question_id, min(doc_id) AS doc_id, 1.0 AS score FROM q JOIN d USING (number) GROUP BY 1""")
 def q11_inferred_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir)
+    n = cut(nodes(spark, sf_dir))
     titles = n.where("node_type = 'document'").select("doc_id", "doc_number", F.col("text").alias("title"))
     return navigation.infer_documents(questions(n), titles)
 
@@ -114,7 +115,7 @@ def q11_inferred_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(QUESTIONS + """, a AS (SELECT q.question_id, q.question, n.text AS answer, CASE WHEN n.order_index % 3 = 0 THEN 0 ELSE 1 END AS n_passages FROM questions q JOIN nodes n ON n.node_id = q.question_id)
   SELECT question_id, CASE WHEN n_passages = 0 THEN 'no_passages' WHEN contains(lower(question), ' và ') AND (len(list_intersect(regexp_extract_all(lower(split_part(question, ' và ', 1)), '[\\p{L}\\p{N}_]+'), regexp_extract_all(lower(answer), '[\\p{L}\\p{N}_]+'))) = 0 OR len(list_intersect(regexp_extract_all(lower(split_part(question, ' và ', 2)), '[\\p{L}\\p{N}_]+'), regexp_extract_all(lower(answer), '[\\p{L}\\p{N}_]+'))) = 0) THEN 'part_not_covered' ELSE 'adequate' END AS verdict FROM a""")
 def a08_adequacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir)
+    n = cut(nodes(spark, sf_dir))
     asked = questions(n).join(n.select(F.col("node_id").alias("question_id"), F.col("text").alias("answer"), F.when(F.col("order_index") % 3 == 0, 0).otherwise(1).alias("n_passages")), "question_id")
     return asked.select("question_id", navigation.adequacy(asked).alias("verdict"))
 
