@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import Temporary, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -32,6 +32,13 @@ def _between(edges: DataFrame) -> DataFrame:
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (node, component) of all nodes after new links (a, b) between them."""
+    with Temporary(labels.sparkSession) as temporary:
+        out = _joined(labels, links)
+        temporary.keep(out)
+    return out
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     own = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     merged = connected_components(links.join(own("a"), "a").join(own("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     lower = merged.select(F.col("node").alias("component"), F.col("component").alias("lower"))

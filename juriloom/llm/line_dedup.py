@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import Temporary, written
 
 WORD = "[^\\x20\\x09-\\x0D]"
 
@@ -83,10 +83,13 @@ def repeated_short_runs(docs: DataFrame, run: int, words: int, often: int | None
 
 def remove_repeated_lines(docs: DataFrame, run: int = 3, doc_id: str = "doc_id", text: str = "text", n_lines: str = "n_lines", n_removed: str = "n_removed_lines", words: int | None = None, often: int | None = None) -> DataFrame:
     """The rows with their text rid of repeated runs, and two counts beside it, in place of columns of those names."""
-    places = repeated_lines(docs, run, doc_id, text)
-    if words is not None:
-        places = places.union(repeated_short_runs(docs, run, words, often, doc_id, text))
-    marks = written(places.groupBy("id", "text_hash").agg(F.collect_set(F.struct("start", "size")).alias("starts")), "line-marks").select(F.col("id").alias("_marked_id"), F.col("text_hash").alias("_marked_hash"), F.col("starts").alias("_starts"))
+    with Temporary(docs.sparkSession) as temporary:
+        places = repeated_lines(docs, run, doc_id, text)
+        if words is not None:
+            places = places.union(repeated_short_runs(docs, run, words, often, doc_id, text))
+        marks = written(places.groupBy("id", "text_hash").agg(F.collect_set(F.struct("start", "size")).alias("starts")), "line-marks")
+        temporary.keep(marks)
+    marks = marks.select(F.col("id").alias("_marked_id"), F.col("text_hash").alias("_marked_hash"), F.col("starts").alias("_starts"))
     # marks grow with the input, so the join is a sort-merge at every size
     joined = docs.join(marks.hint("merge"), F.col(doc_id).eqNullSafe(F.col("_marked_id")) & (F.xxhash64(F.col(text)) == F.col("_marked_hash")), "left").drop("_marked_id", "_marked_hash")
     numbered = joined.withColumn("_lines", _numbered(F.col(text)))

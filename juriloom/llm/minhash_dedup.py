@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import joined
-from .scratch import in_block, in_block_column, written
+from .scratch import Temporary, in_block, in_block_column, written
 from .words import U, Words, mix, pack, pack_sorted, slices, unpack, unpack_sorted, window_starts, windows, words
 
 CHUNKS, WIDE, ERRORS = 18, 7, 1
@@ -340,6 +340,16 @@ class _Search:
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row; ids are cast to long."""
+    with Temporary(docs.sparkSession) as temporary:
+        features, classes, labels = _components(docs, size, percent, doc_id, text)
+        temporary.keep(features, classes, labels)
+    of_class = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
+    out = features.drop("signature").join(of_class.hint("merge"), "digest", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _components(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Features of every row, the class of each digest, and the component of each class."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     features = written(rows.mapInArrow(_features(size), "doc_id long, n_shingles long, digest binary, signature binary"), "features")
     linked = features.where("doc_id is not null and digest is not null")
@@ -351,7 +361,4 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
         labels = joined(labels, search.stars(labels, turn))
     family = search.family
     labels = joined(labels, search.families(labels, family))
-    labels = joined(labels, search.between(family)).withColumnRenamed("node", "id")
-    of_class = classes.join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-    out = features.drop("signature").join(of_class.hint("merge"), "digest", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return features, classes, joined(labels, search.between(family))

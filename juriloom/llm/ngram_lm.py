@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Maps, save, smallest
-from .scratch import block_count, fresh_path, written
+from .scratch import Temporary, block_count, fresh_path, written
 from .words import U, Texts, mix, pack, pack_sorted, slices, unpack, unpack_sorted, words
 
 END = U(0x243F6A8885A308D3)
@@ -111,6 +111,11 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 
 def train(docs: DataFrame, text: str = "text") -> Model:
     """Count all rows of ``docs`` and leave the model in the shared folder."""
+    with Temporary(docs.sparkSession):
+        return _train(docs, text)
+
+
+def _train(docs: DataFrame, text: str) -> Model:
     blocks = block_count(docs, text=text)
     side = max(4, ceil(0.75 * sqrt(blocks)))
     shards, parts = side * side, 4 * side

@@ -26,12 +26,47 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+class Temporary:
+    """Tables written inside a ``with`` block are deleted at its end, but for those that are kept.
+
+    Whatever a frame that lives on still reads has to be kept. Where the block fails, its tables stay.
+    """
+
+    _open: list[Temporary] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Temporary:
+        self._open.append(self)
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        self._open.remove(self)
+        for path in self.paths if kind is None else []:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Leave these tables to the block around this one, or for good."""
+        for table in tables:
+            if table.written_to in self.paths:
+                self.paths.remove(table.written_to)
+                outer = self._open[self._open.index(self) - 1] if self._open.index(self) else None
+                if outer:
+                    outer.paths.append(table.written_to)
+
+
 def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: the lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
     path = path or fresh_path(spark, label)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if Temporary._open:
+        Temporary._open[-1].paths.append(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
