@@ -16,7 +16,7 @@ from juriloom.llm.line_dedup import remove_repeated_lines
 from juriloom.llm.minhash_dedup import near_duplicates
 from juriloom.llm.packing import pack
 from juriloom.llm.quality_cnn import fit_on, keep_good
-from juriloom.llm.scratch import written
+from juriloom.llm.scratch import Temporary, written
 from juriloom.shipping import ship
 
 #: Runs of one or two lines are removed from so many words on, and single lines of any length that stand in so many places.
@@ -65,6 +65,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    with Temporary(spark) as temporary:
+        for name, stage in STAGES[:-1]:
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        temporary.keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
