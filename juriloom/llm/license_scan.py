@@ -1,6 +1,6 @@
 """Licence scan by a positional index of template words.
 
-Templates are short licence notices. Their words' document frequencies are counted over all documents. In a file, every
+Templates are licence notices, and clauses of whole licences one by one, so that names filled in between don't shift them. Their words' document frequencies are counted over all documents. In a file, every
 licence word is looked up in the templates' postings; each meeting votes for a template and its place in the file, with
 the word's inverse frequency. The score of a place is the share of the template's weight that stands in place; places
 where two words or more do are kept, and the template's label is given if the score is at least ``least`` and a mandatory
@@ -43,6 +43,17 @@ TEMPLATES = [
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify and or distribute this software"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software released into the public domain"]),
     ("public-domain", "dedicated to the public domain under cc0 1 0 universal", ["cc0 1 0"]),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so", ["deal in the software without restriction"]),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["shall be included in all copies or substantial portions of the software"]),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ["redistributions of source code must retain the above copyright notice"]),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ["redistributions in binary form must reproduce the above copyright notice"]),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ["distributed under the license is distributed on an as is basis"]),
+    ("gpl-3", "either version 3 of the license or at your option any later version", ["version 3 of the license or at your option any later version"]),
+    ("gpl-2", "either version 2 of the license or at your option any later version", ["version 2 of the license or at your option any later version"]),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", ["permission is granted to anyone to use this software for any purpose including commercial applications"]),
+    ("isc", "provided that the above copyright notice and this permission notice appear in all copies", ["copyright notice and this permission notice appear in all copies"]),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", ["anyone is free to copy modify publish use compile sell or distribute"]),
+    ("mpl-2", "if a copy of the mpl was not distributed with this file you can obtain one at", ["copy of the mpl was not distributed with this file"]),
 ]
 LEAST = 0.6
 
