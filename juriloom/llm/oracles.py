@@ -24,7 +24,7 @@ r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, un
 c AS (SELECT doc_id, lang, t, len(w) AS n_words, length(t) - length(regexp_replace(t, '[^\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
   coalesce(n_repeat_words, 0) AS n_repeat_words, [{_COUNTS}] AS cc, list_transform({_COMMON}, lambda x: len(list_filter(w, lambda y: y = x))::DOUBLE) AS wc FROM d LEFT JOIN r USING (doc_id)),
 h AS (SELECT * EXCLUDE (cc, wc), list_append(cc, length(t) - list_sum(cc)) AS cc, list_append(wc, n_words - list_sum(wc)) AS wc FROM c),
-ref AS (SELECT lang, [{", ".join(f"sum(cc[{i}])" for i in range(1, 8))}] AS cr, [{", ".join(f"sum(wc[{i}])" for i in range(1, _N + 1))}] AS wr FROM h GROUP BY lang),
+ref AS (SELECT lang, [{", ".join(f"sum(cc[{i}])" for i in range(1, 8))}] AS cr, [{", ".join(f"sum(wc[{i}])" for i in range(1, _N + 1))}] AS wr FROM (SELECT * FROM h QUALIFY (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) = min(n_words < 50 OR 100 * n_repeat_words > 50 * n_words) OVER (PARTITION BY lang)) GROUP BY lang),
 f AS (SELECT h.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CASE WHEN length(t) >= 300 THEN {_distance("cc", "cr")} ELSE 0 END AS dc, CASE WHEN n_words >= 120 THEN {_distance("wc", "wr")} ELSE 0 END AS dw FROM h JOIN ref ON h.lang IS NOT DISTINCT FROM ref.lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND dc <= 0.3 AND dw <= 0.28 AS kept FROM f
 """

@@ -1,7 +1,8 @@
 """Quality rules: plain counts, and the distance of a document's histograms from those of its language.
 
 Two histograms are taken of each document: characters by class, and the common words below by word with all others in
-one bin. The reference of a language is the sum of the histograms of all its documents. A document is rejected if the
+one bin. The reference of a language is the sum of the histograms of all its documents that pass the base rule, so that
+junk does not shape what it is held against; where none passes, that of all. A document is rejected if the
 Jensen-Shannon distance (base 2, 0 to 1) of either histogram exceeds its bound; documents below ``min_chars`` or
 ``min_words`` are too short for that histogram and pass. Everything runs in Spark's own functions, row by row, but for
 one sum for each language; no words are shuffled.
@@ -15,7 +16,7 @@ long, and what is equal there is compared by all 64 bits.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import column_or_null, written
@@ -101,11 +102,12 @@ def apply_rules(docs: DataFrame, char_bound: float = 0.3, word_bound: float = 0.
     """doc_id, the base counts, base_failed, kept, and both distances (null where the document is too short)."""
     found = written(features(docs, doc_id, text, lang), "quality-features")
     sums = [F.sum(F.get("char_counts", F.lit(i))).alias(f"c{i}") for i in range(7)] + [F.sum(F.get("word_counts", F.lit(i))).alias(f"w{i}") for i in range(len(COMMON_WORDS) + 1)]
-    totals = found.groupBy("lang").agg(*sums)
+    base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    by_rule = found.groupBy("lang", base_failed.alias("failed")).agg(*sums)
+    totals = by_rule.withColumn("best", F.min("failed").over(Window.partitionBy("lang"))).where("failed = best")
     references = written(totals.select(F.col("lang").alias("of_lang"), F.array(*[f"c{i}" for i in range(7)]).alias("char_reference"), F.array(*[f"w{i}" for i in range(len(COMMON_WORDS) + 1)]).alias("word_reference")), "quality-references")
     if references.count() <= BROADCAST_LANGUAGES:
         references = F.broadcast(references)
-    base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     n_chars = F.aggregate("char_counts", F.lit(0.0), lambda a, x: a + x)
     compared = found.join(references, F.col("lang").eqNullSafe(F.col("of_lang"))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"),
