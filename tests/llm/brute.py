@@ -105,3 +105,73 @@ class KneserNey:
 
     def base(self, t):
         return sum(math.log10((self.count[w] + 1) / (self.n + self.v + 1)) for w in [*words(lower(t)), "</s>"])
+
+
+def licences(rows, phrases, templates, least):
+    """{id: (n_words, base places, base labels, labels, score)}: every template at every place."""
+    alphanumeric = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    texts = {d: alphanumeric.findall(lower(t)) for d, t in rows}
+    known = {w for _, t, keys in templates for x in (t, *keys) for w in x.split()}
+    seen = Counter(w for t in texts.values() for w in set(t) & known)
+    weight = {w: math.log((len(texts) + 1) / (seen[w] + 1)) + 0.05 for w in known}
+    at = lambda words, phrase: [i for i in range(len(words) - len(phrase) + 1) if words[i : i + len(phrase)] == phrase]
+    out = {}
+    for d, text in texts.items():
+        places, base = [], set()
+        for phrase, label in phrases.items():
+            found = at(text, phrase.split())
+            places += found
+            base |= {label} if found else set()
+        labels, best = set(base), 0.0
+        for label, template, keys in templates:
+            words_of = template.split()
+            for s in range(1 - len(words_of), len(text)):
+                held = [w for k, w in enumerate(words_of) if 0 <= s + k < len(text) and text[s + k] == w]
+                score = sum(weight[w] for w in held) / sum(weight[w] for w in words_of)
+                if len(held) >= 2 and score >= least:
+                    span = text[max(s, 0) : s + len(words_of) + 2]
+                    if any(at(span, k.split()) for k in keys):
+                        labels.add(label)
+                        best = max(best, score)
+        out[d] = (len(text), sorted(places), sorted(base), sorted(labels), 1.0 if base else min(best, 1.0))
+    return out
+
+
+def leaks(docs, items, template, window, literal, least, share, long_run):
+    """{(doc id, item id): covered} by laying every item along every document. template(text): words as (kind, value, own word)."""
+    out = {}
+    for d, t in docs:
+        doc = template(t)
+        for i, u in items:
+            item = template(u)
+            n = min(window, len(item))
+            covered, longest = set(), 0
+            for apart in range(-len(item), len(doc)):
+                own, kinds, same = set(), {}, set()
+                for q in range(len(item) - n + 1):
+                    if not 0 <= q + apart <= len(doc) - n:
+                        continue
+                    a, b = item[q : q + n], doc[q + apart : q + apart + n]
+                    if [x[2] for x in a] == [x[2] for x in b]:
+                        same.update(range(q, q + n))
+                    if n >= least and [x[0] for x in a] == [x[0] for x in b] and sum(not x[1] for x in a) >= min(literal, n):
+                        kinds |= {q + k: (x[1], y[1]) for k, (x, y) in enumerate(zip(a, b, strict=True))}
+                votes = {}
+                for theirs, mine in kinds.values():
+                    if theirs:
+                        votes.setdefault(theirs, Counter())[mine] += 1
+                for q, (theirs, mine) in kinds.items():
+                    if not theirs or mine == min(votes[theirs], key=lambda v: (-votes[theirs][v], v)):
+                        own.add(q)
+                good = own | same
+                covered |= good
+                longest = max([longest, *(sum(1 for _ in _run(good, q)) for q in good)])
+            if item and covered and (len(covered) >= share * len(item) or longest >= long_run):
+                out[d, i] = len(covered)
+    return out
+
+
+def _run(places, q):
+    while q in places:
+        yield q
+        q += 1

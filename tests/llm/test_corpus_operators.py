@@ -1,12 +1,15 @@
 """Dedup, decontamination, language model and the pipeline against plain versions on small tables."""
 import hashlib
 import random
+import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from juriloom.llm import components, decontaminate, line_dedup, minhash_dedup, ngram_lm, queries, substring_dedup
+from juriloom.llm.words import U, hash_word
 
 import brute
 from oracle import both
@@ -196,6 +199,33 @@ def test_decontamination_finds_verbatim_copies_of_any_item(spark, filtered, monk
     assert got == {**{(i, i): (n, n, 0) for i, n in enumerate([11, 10, 8, 2, 1, 8])}, (6, 0): (11, 11, 0)}
 
 
+def plain_template(text):
+    """(kind, slot value or None, word) of each word, from the rules in words; values in the order in which ties are broken."""
+    out, before, opens = [], 0, True
+    for m in re.finditer(r"[^\W_]+", text or "", re.ASCII):
+        w, low = m[0], m[0].lower()
+        opens = not before or any(c in ".!?\n:;" for c in text[before : m.start()])
+        kind = "<number>" if w.isdigit() else "<unit>" if low in decontaminate.UNITS else "<name>" if w[0].isupper() and not opens else None
+        out.append((kind or low, int((hash_word(low) | U(1)).view(np.int64)) if kind else None, low))
+        before = m.end()
+    return out
+
+
+def test_decontamination_against_every_alignment(spark):
+    rng = random.Random(21)
+    vocabulary = ["apple", "River", "12", "7", "km", "hours", "walks", "to", "Minh", "the", "sells", "and", "Anna", "buys"]
+    text = lambda n: "".join(rng.choice(vocabulary) + rng.choice([" ", " ", " ", ". "]) for _ in range(n))
+    items = [text(rng.randrange(1, 25)) for _ in range(25)]
+    docs = [text(rng.randrange(0, 60)) for _ in range(20)]
+    for t in items:
+        changed = " ".join({"12": "30", "7": "5", "Minh": "Paul", "km": "miles"}.get(w, w) for w in t.split(" "))
+        docs += [text(9) + t + text(5), text(4) + changed, text(3) + changed.replace("5", "7", 1), t.upper(), " ".join(t.split()[:-3])]
+    options = {"window": decontaminate.WINDOW, "literal": 3, "least": 5, "share": 0.5, "long_run": 13}
+    want = brute.leaks(list(enumerate(docs)), list(enumerate(items)), plain_template, **options)
+    found = decontaminate.leaks(spark.createDataFrame([(i, t, "y") for i, t in enumerate(docs)], "doc_id long, text string, h string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert {(x["doc_id"], x["item_id"]): x["covered"] for x in found.collect()} == want and len(want) > 80
+
+
 def test_inconsistent_slots_do_not_count():
     slots = [[0, 5, 0, 0, 5, 0, 0, 5]]
     covered, longest, *_ = decontaminate._covered([0], [0], [[0, 1, 0, 0, 2, 0, 0, 1]], slots, 8)

@@ -1,6 +1,7 @@
 """Counts, rules, licences, packing, classifier: nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -141,6 +142,30 @@ def test_stray_licence_words_hide_no_notice(spark):
     assert got == ["gpl-3", "", *["gpl-3"] * 30, "", ""]
 
 
+def test_licences_match_every_template_at_every_place(spark):
+    r = random.Random(8)
+    notices = [t for _, t, _ in license_scan.TEMPLATES]
+    common = sorted({w for t in notices for w in t.split()})
+    texts = [None, "", "x", *notices]
+    for _ in range(60):
+        words_of = []
+        for _ in range(r.randrange(1, 5)):
+            t = r.choice(notices).split()
+            if r.random() < 0.5:  # torn or changed notices
+                t = t[r.randrange(3) : len(t) - r.randrange(3)]
+                t = [r.choice(common) if r.random() < 0.1 else w for w in t]
+            words_of += [r.choice(common + ["own", "text"]) for _ in range(r.randrange(6))] + t
+        texts.append(", ".join(words_of).upper())
+    texts += texts[-3:]  # repeated rows
+    want = brute.licences(list(enumerate(texts)), license_scan.PHRASES, license_scan.TEMPLATES, license_scan.LEAST)
+    found = license_scan.scan(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, labels string").repartition(3)).collect()
+    assert len(found) == len(texts)
+    for x in found:
+        n, places, base, labels, score = want[x["doc_id"]]
+        assert (x["n_words"], x["n_base"], x["first_word"], x["last_word"]) == (n, len(places), places[0] if places else None, places[-1] if places else None)
+        assert (x["base_labels"], x["labels"]) == (",".join(base), ",".join(labels)) and x["score"] == pytest.approx(score)
+
+
 def check_packing(rows, ids_of, window):
     by_doc, by_sequence = {}, {}
     for r in rows:
@@ -175,6 +200,18 @@ def test_packing_round_trip(docs, none):
     assert kept["ids"][-1] == 1 and len(kept["ids"]) == kept["length"]
 
 
+def test_packing_of_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b c")] * 5 + [(2, LONG[:3000])] * 3 + [(None, "x")] * 2, "doc_id long, text string")
+    rows = packing.pack(df, window=64).collect()
+    assert sum(r["doc_id"] == 1 for r in rows) == 5 and sum(r["doc_id"] is None for r in rows) == 2
+    assert {n % 3 for n in Counter((r["doc_id"], r["start"]) for r in rows if r["doc_id"] == 2).values()} == {0}
+    by_sequence = {}
+    for r in rows:
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in by_sequence.values():
+        assert [o for o, _ in sorted(pieces)] == [sum(n for _, n in sorted(pieces)[:k]) for k in range(len(pieces))] and sum(n for _, n in pieces) <= 64
+
+
 def test_plan_uses_the_histogram_and_pads_little():
     r = np.random.default_rng(0)
     lengths = np.minimum(r.geometric(1 / 300, 20_000), 2048)
