@@ -358,7 +358,9 @@ def _components(docs: DataFrame, size: int, percent: int, doc_id: str, text: str
     search = _Search(rows.select(F.col("doc_id").alias("id"), "text"), reps, size, percent)
     labels = reps.select(F.col("id").alias("node"), F.col("id").alias("component")).distinct()
     for turn in range(TURNS):
-        labels = joined(labels, search.stars(labels, turn))
+        with Temporary(docs.sparkSession) as temporary:  # the stars of a turn are the largest tables
+            labels = joined(labels, search.stars(labels, turn))
+            temporary.keep(labels, search.family, search.sets, search.reps)
     family = search.family
     labels = joined(labels, search.families(labels, family))
     return features, classes, joined(labels, search.between(family))

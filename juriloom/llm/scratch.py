@@ -49,12 +49,11 @@ class Temporary:
 
     def keep(self, *tables: DataFrame) -> None:
         """Leave these tables to the block around this one, or for good."""
-        for table in tables:
-            if table.written_to in self.paths:
-                self.paths.remove(table.written_to)
-                outer = self._open[self._open.index(self) - 1] if self._open.index(self) else None
-                if outer:
-                    outer.paths.append(table.written_to)
+        place = self._open.index(self)
+        for path in {getattr(table, "written_to", None) for table in tables} & set(self.paths):
+            self.paths.remove(path)
+            if place:
+                self._open[place - 1].paths.append(path)
 
 
 def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
