@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from juriloom.functions.text import norm_key, norm_space, truncate
 
-MAX_DEPTH = 12
-
 
 def has_child_edges(nodes: DataFrame) -> DataFrame:
     return nodes.where("parent_id is not null").select(F.col("parent_id").alias("source_id"), F.col("node_id").alias("target_id"), F.lit("HAS_CHILD").alias("relation_type"), F.col("doc_id"))
@@ -25,10 +23,10 @@ def with_counts(nodes: DataFrame) -> DataFrame:
     return nodes.join(own, "node_id", "left").join(beside, "parent_id", "left").fillna(0, ["n_children", "n_siblings"])
 
 
-def closure(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def closure(nodes: DataFrame) -> DataFrame:
     """(ancestor, node_id, distance), each node with itself first; joins level by level to the deepest level there is."""
     links = nodes.where("parent_id is not null").select(F.col("node_id").alias("child"), F.col("parent_id").alias("up"))
-    deepest = min(nodes.agg(F.max("level")).first()[0] or 0, max_depth)
+    deepest = nodes.agg(F.max("level")).first()[0] or 0
     step = nodes.select(F.col("node_id").alias("ancestor"), "node_id", F.lit(0).alias("distance"))
     out = step
     for d in range(1, deepest + 1):

@@ -23,7 +23,7 @@ ALPHA = re.compile(r"^([A-Z])[.)]\s+(.+)$")
 DECIMAL = re.compile(r"^(\d+(?:\.\d+)+)\.?\s+(.+)$")
 NUMBERED = re.compile(r"^(\d+)\.\s+(.+)$")
 POINT = re.compile(r"^([a-zđ])\)\s+(.+)$", re.IGNORECASE)
-LISTED = re.compile(r"^(?:(\d+)\)|\((\w{1,8})\))\s+(.+)$")
+LISTED = re.compile(r"^(?:(\d+)\)|\(([a-zđ]|[ivxlcdm]{1,8}|\d{1,3})\))\s+(.+)$", re.IGNORECASE)
 BULLET = re.compile(r"^[-+*•]\s+(.+)$")
 INLINE_DECIMAL = re.compile(r"\s+(?=\d+(?:\.\d+)+\.?\s+)")
 FOOTER_STARTS = ("noi nhan", "tm.", "kt.", "tl.", "tuq.", "thu ky", "nguoi ky", "- luu:", "+ luu:", "luu:")
@@ -57,7 +57,7 @@ class _Tree:
     """Nodes in order of creation, and the latest open one of each kind."""
 
     def __init__(self, doc_id: str, title: str):
-        self.doc_id, self.nodes, self.open = doc_id, [], {}
+        self.doc_id, self.nodes, self.open, self.by_id, self.rows = doc_id, [], {}, {}, 0
         self.root = self.add("document", title, title, None)
 
     def add(self, kind: str, label: str, text: str, parent: dict | None, **refs: str) -> dict:
@@ -68,6 +68,7 @@ class _Tree:
             "level": parent["level"] + 1 if parent else 0, "path_title": "" if not parent else " > ".join(x for x in (parent["path_title"], label) if x), **inherited,
         }
         self.nodes.append(node)
+        self.by_id[node["node_id"]] = node
         return node
 
     def latest(self, *kinds: str) -> dict:
@@ -123,7 +124,8 @@ def _structural(tree: _Tree, line: str, key: str) -> dict | None:
     inside = "article" in o and "appendix" not in o
     if (m := ROMAN.match(line)) and not inside:
         tree.close(*BELOW_ARTICLE[:4])
-        parent = next((n for n in tree.nodes if "alpha" in o and n["node_id"] == o["alpha"]["parent_id"]), None) or tree.latest("section", "appendix")
+        parent = tree.by_id.get(o["alpha"]["parent_id"]) if "alpha" in o else None
+        parent = parent or tree.latest("section", "appendix")
         tree.close("alpha", "table")
         o["roman"] = node = tree.add("roman_section", f"{m[1]}.", line, parent)
         return node
@@ -139,8 +141,9 @@ def _table_row(tree: _Tree, line: str, was_table: bool) -> dict:
     table = tree.open.get("table")
     if not was_table or table is None or table["parent_id"] != parent["node_id"]:
         tree.open["table"] = table = tree.add("table", "Bảng", "", parent)
-    rows = sum(n["parent_id"] == table["node_id"] for n in tree.nodes)
-    return tree.add("table_row", f"Dòng bảng {rows + 1}", line, table)
+        tree.rows = 0
+    tree.rows += 1
+    return tree.add("table_row", f"Dòng bảng {tree.rows}", line, table)
 
 
 def _listed(tree: _Tree, line: str) -> dict | None:

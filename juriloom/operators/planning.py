@@ -55,6 +55,45 @@ def profile(questions: DataFrame, text: str = "question") -> DataFrame:
     return out.drop("q", "key", "any_year")
 
 
+FILTERS = ["doc_number", "law_type", "year", "article", "clause", "point"]
+# Words that ask for a document as a whole.
+SUMMARY_TERMS = ["quy định về vấn đề gì", "quy định về gì", "nói về vấn đề gì", "nói về gì", "điều chỉnh vấn đề gì", "điều chỉnh gì", "về vấn đề gì", "phạm vi điều chỉnh là gì"]
+WHOLE_DOCUMENTS = ["văn bản", "thông tư", "nghị định", "quyết định", "luật", "bộ luật", "nghị quyết"]
+
+
+def rules_suffice() -> Column:
+    """True for profiles that need no planner: they name a provision, or their document or heading fits their route."""
+    named = lambda *keys: F.greatest(*[F.col(k).isNotNull() for k in keys])
+    of_document, heading = named("doc_number", "law_type", "year"), F.col("heading") != ""
+    return named("article", "clause", "point") | (of_document & F.col("route").isin("direct_reference", "document_focus", "heading_list", "version_change")) | (heading & F.col("route").isin("heading_list", "document_focus")) | ((F.col("change") != "") & of_document)
+
+
+def normalised_filter(name: str, value: Column) -> Column:
+    """A planner's value of a filter as profiles have it; null where it says nothing, or names no known kind of document."""
+    clean = norm_space(value)
+    clean = F.when(clean.isin("", "null", "None"), None).otherwise(clean)
+    low = F.lower(clean)
+    found = lambda label, pattern: F.coalesce(F.concat(F.lit(label), F.nullif(F.regexp_extract(low, pattern, 1), F.lit(""))), clean)
+    if name == "law_type":
+        return F.when(low.isin([v.lower() for v in LAW_TYPES.values()] + ["văn bản hợp nhất", "unknown"]), clean)
+    return {"article": lambda: found("Điều ", r"(\d+[a-z]?)"), "clause": lambda: found("Khoản ", r"(\d+)"), "point": lambda: found("Điểm ", r"([a-zđ])")}.get(name, lambda: clean)()
+
+
+def merge(profiles: DataFrame, planned: DataFrame) -> DataFrame:
+    """Profiles with what a planner adds: planned (question_id and any of the filters and route, as texts) overrides where it says something."""
+    given = [k for k in [*FILTERS, "route"] if k in planned.columns]
+    extra = planned.select("question_id", *[normalised_filter(k, F.col(k)).alias(f"_{k}") for k in given])
+    joined = profiles.join(extra, "question_id", "left")
+    return joined.withColumns({k: F.coalesce(F.col(f"_{k}").try_cast("int") if k == "year" else F.col(f"_{k}"), F.col(k)) for k in given}).drop(*[f"_{k}" for k in given])
+
+
+def asks_for_whole_document(text: str = "question") -> Column:
+    """True for questions that ask for a document's content as a whole."""
+    low = norm_space(F.lower(text))
+    has = lambda terms: F.greatest(*[F.contains(low, F.lit(t)) for t in terms])
+    return F.coalesce(has(SUMMARY_TERMS) & has(WHOLE_DOCUMENTS), F.lit(False))
+
+
 def scope(text: str = "question") -> Column:
     """What kind of answer is asked for."""
     key = ascii_key(text)

@@ -5,9 +5,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answer_queries, graph_queries, lexical_queries, parse_queries, rag_queries, walk_queries
+from . import answer_queries, composed_queries, graph_queries, lexical_queries, parse_queries, rag_queries, walk_queries
 
-MODULES = [answer_queries, lexical_queries, graph_queries, parse_queries, rag_queries, walk_queries]
+MODULES = [answer_queries, composed_queries, lexical_queries, graph_queries, parse_queries, rag_queries, walk_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,7 +2,9 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from juriloom.operators import dense, header, lexical, navigation, parser, planning
+from juriloom.operators import answers, dense, header, lexical, navigation, parser, planning, retrieval
+from juriloom.plans import jobs
+from juriloom.plans.settings import Providers
 from juriloom.sources import files
 from juriloom.streaming import ingest
 
@@ -118,3 +120,81 @@ def test_streams(spark, tmp_path):
     s = ingest.upsert_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "rows")), ["k"], ["v"], str(tmp_path / "table"), str(tmp_path / "ck2"))
     s.awaitTermination(120)
     assert {(r["k"], r["x"]) for r in spark.read.parquet(str(tmp_path / "table" / "v0")).collect()} == {(1, "b"), (2, "c")}
+
+
+def test_rebuild_and_statistics(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text(DECISION)
+    (tmp_path / "in" / "b.pdf").write_bytes(b"%PDF")
+    paths = jobs.rebuild(spark, str(tmp_path / "in"), f"file://{tmp_path}/out")
+    nodes = spark.read.parquet(paths["nodes"])
+    assert nodes.where("node_type = 'point'").count() == 2 and spark.read.parquet(paths["edges"]).count() == nodes.count() - 1
+    assert [r["error"] for r in spark.read.parquet(paths["errors"]).collect()] == ["unsupported"]
+    docs = spark.createDataFrame([(1, "a b"), (2, "a")], "doc_id int, text string")
+    first = jobs.bm25_statistics(docs, f"file://{tmp_path}/stats")
+    again = jobs.bm25_statistics(docs.limit(1), f"file://{tmp_path}/stats")
+    forced = jobs.bm25_statistics(docs.limit(1), f"file://{tmp_path}/stats1")
+    assert {r["token"]: r["df"] for r in again[0].collect()} == {r["token"]: r["df"] for r in first[0].collect()} == {"a": 2, "b": 1} and forced[1].first()["n_docs"] == 1
+
+
+def test_vector_collection(spark, tmp_path):
+    rows = [(1, 1, [1.0, 0.0], "Luật", "1/2020/QH"), (2, 1, [0.0, 1.0], "Nghị định", "2/2020/NĐ-CP")]
+    schema = "vec_id long, version int, embedding array<double>, law_type string, doc_number string"
+    jobs.store_vectors(spark.createDataFrame(rows, schema), f"file://{tmp_path}/v", "vec_id")
+    stored = jobs.store_vectors(spark.createDataFrame([(1, 2, [0.0, 1.0], "Luật", "1/2020/QH"), (3, 1, [1.0, 0.0], "Luật", "3/2020/QH")], schema), f"file://{tmp_path}/v", "vec_id")
+    assert stored.count() == 3
+    asked = spark.createDataFrame([(9, [0.0, 1.0])], "query_id long, embedding array<double>")
+    assert [r["vec_id"] for r in jobs.search_vectors(stored, asked, 2, {"law_type": "Luật"}).orderBy("rank").collect()] == [1, 3]
+
+
+def test_logs(spark, tmp_path):
+    log = f"file://{tmp_path}/log"
+    assert jobs.append_log(spark.createDataFrame([("r1", "Ai phải nộp?", "Ông A  nộp")], "request_id string, question string, answer string"), log)
+    assert jobs.append_log(spark.createDataFrame([("r2", "Thời hạn?", "Ba ngày")], "request_id string, question string, answer string"), log)
+    assert not jobs.append_log(spark.createDataFrame([(1,)], "a int"), "nosuch://x/y")
+    found = spark.read.json(log)
+    assert [r["request_id"] for r in jobs.search_log(found, said="BA NGÀY").collect()] == ["r2"]
+    assert jobs.search_log(found, request_id="r1").first()["answer"] == "Ông A nộp" and jobs.search_log(found, last=1).count() == 1
+    assert jobs.search_log(found, request_id="r1", compact=False).columns == found.columns
+
+
+def test_judge_provider(spark):
+    df = spark.createDataFrame([("Ai?", "x", 1), ("Ai?", "y", 0)], "question string, answer string, n_passages int")
+    judge = Providers(judge=lambda q, a: F.when(a == "x", "model says no"))
+    verdicts = lambda **o: [(r["verdict"], r["provider"]) for r in jobs.judged(df, **o).orderBy("answer").collect()]
+    assert verdicts(enabled=False) == [("adequate", "disabled")] * 2
+    assert verdicts(providers=judge) == [("model says no", "model"), ("no_passages", "heuristic")]
+    assert verdicts(providers=judge, provider="heuristic") == [("adequate", "heuristic"), ("no_passages", "heuristic")]
+
+
+def _tree(spark):
+    rows = [("d", None, "document", "Luật 1", 0, None, None, None, ""), ("a1", "d", "article", "Điều 1. Phạm vi", 1, "Điều 1", None, None, "Điều 1. Phạm vi"), ("c1", "a1", "clause", "1. Gồm:", 2, "Điều 1", "Khoản 1", None, "Điều 1. Phạm vi > Khoản 1"), ("p1", "c1", "point", "a) nhà máy", 3, "Điều 1", "Khoản 1", "Điểm a", "x"), ("p2", "c1", "point", "b) cửa hàng nhỏ", 4, "Điều 1", "Khoản 1", "Điểm b", "x"), ("c2", "a1", "clause", "2. Không gồm cửa hàng", 5, "Điều 1", "Khoản 2", None, "y")]
+    nodes = spark.createDataFrame([(n, "d", p, k, t, o, a, c, q, path, "1/2020/QH", "Luật", 2020, "QH") for n, p, k, t, o, a, c, q, path in rows], "node_id string, doc_id string, parent_id string, node_type string, text string, order_index int, article string, clause string, point string, path_title string, doc_number string, law_type string, year int, issuing_agency string")
+    return nodes.withColumn("label", F.col("text")).withColumn("level", F.lit(3))
+
+
+def test_navigation_and_evidence(spark):
+    nodes = _tree(spark)
+    asked = spark.createDataFrame([("q1", "Điều 1 của 1/2020/QH bao gồm những gì về cửa hàng?"), ("q2", "Điểm a Khoản 1 Điều 1 của 1/2020/QH?"), ("q3", "So sánh Điều 1 của 1/2020/QH")], "question_id string, question string")
+    profiles = planning.profile(asked)
+    start = retrieval.direct_targets(profiles, nodes)
+    assert {(r["question_id"], r["node_id"]) for r in start.collect()} == {("q1", "a1"), ("q2", "p1"), ("q3", "a1")}
+    walked, relations = navigation.navigate(profiles, nodes, start)
+    ends = {(r["question_id"], r["rank"]): (r["node_id"], r["hops"]) for r in walked.collect()}
+    assert ends["q1", 1] == ("p2", 2) and ends["q2", 1] == ("p1", 0)  # the short clause comes first, and below it the point about shops
+    got = navigation.evidence(walked, relations, asked.withColumn("scope", planning.scope()), nodes).orderBy("question_id", "place").collect()
+    assert [(r["node_id"], r["role"], r["answer_source"]) for r in got if r["question_id"] == "q1"] == [("p1", "primary", "children"), ("p2", "primary", "children")]
+    assert [r["node_id"] for r in got if r["question_id"] == "q2"] == ["p1"]
+    chosen = spark.createDataFrame([("q", "p1", 1)], "question_id string, node_id string, rank int")
+    by = lambda source: [r["node_id"] for r in navigation.evidence_by_source(chosen, nodes, source).orderBy("place").collect()]
+    assert (by("own_text"), by("siblings"), by("parent"), by("parent_heading"), by("children")) == (["p1"], ["p1", "p2"], ["c1"], ["d"], [])
+    empty, none = navigation.navigate(profiles.limit(0), nodes, start.limit(0))
+    assert empty.count() == 0 and none.count() == 0
+
+
+def test_workflow(spark):
+    asked = spark.createDataFrame([("q1", "Khoản 2 Điều 1 của 1/2020/QH không gồm cửa hàng nào?"), ("q2", "Điều 9 của 1/2020/QH?")], "question_id string, question string")
+    done = jobs.answer_questions(asked, _tree(spark))
+    assert {r["question_id"]: r["answer"] for r in done["answers"].collect()} == {"q1": "2. Không gồm cửa hàng", "q2": answers.REFUSAL}
+    out = {r["sample_id"]: r for r in jobs.collect_outputs(asked.withColumnRenamed("question_id", "sample_id"), _tree(spark)).collect()}
+    assert out["q1"]["contexts"] == ["2. Không gồm cửa hàng"] and out["q2"]["contexts"] is None
