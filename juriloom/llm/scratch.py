@@ -60,7 +60,7 @@ def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: the lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
     path = path or fresh_path(spark, label)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    df.write.mode("overwrite").option("compression", "snappy").parquet(path)  # zstd keeps native memory in executors
     if Temporary._open:
         Temporary._open[-1].paths.append(path)
     table = spark.read.schema(df.schema).parquet(path)
