@@ -170,7 +170,7 @@ def _train(docs: DataFrame, text: str) -> Model:
         return pa.table({c: pa.array(v, t) for c, v, t in zip(names, columns, types, strict=True)})
 
     pairs = docs.select(F.col(text).alias("text")).mapInArrow(count, "shard int, u binary, w binary, n binary").groupBy("shard").applyInArrow(add_up, kinds)
-    pairs = written(pairs, "pairs")
+    pairs = written(pairs, "pairs", compression="snappy")
     totals = lambda df, *names: df.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
     found = totals(pairs.where("part = -1"), "size", "n1", "n2", "n3", "n4")
     n_pairs, d = found["size"], discounts([found[f"n{k}"] for k in (1, 2, 3, 4)])

@@ -149,7 +149,7 @@ def cut(docs: DataFrame, window: int, tokenizer: str, end_id: int, doc_id: str,
 
 def pack(docs: DataFrame, window: int = 2048, tokenizer: str | None = None, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row for each piece, with the sequence that it lies in and its offset there; with ``keep_ids`` its ids too."""
-    pieces = written(cut(docs, window, tokenizer or vocabulary_path(), end_id, doc_id, text, keep_ids), "pieces")
+    pieces = written(cut(docs, window, tokenizer or vocabulary_path(), end_id, doc_id, text, keep_ids), "pieces", compression="snappy")  # with zstd, executors took more memory
     counted = pieces.groupBy("length").count().collect()  # at most ``window`` rows
     histogram = np.zeros(window + 1, np.int64)
     for r in counted:

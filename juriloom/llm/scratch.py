@@ -56,11 +56,11 @@ class Temporary:
                 self._open[place - 1].paths.append(path)
 
 
-def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+def written(df: DataFrame, label: str, path: str | None = None, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: the lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
     path = path or fresh_path(spark, label)
-    df.write.mode("overwrite").option("compression", "snappy").parquet(path)  # with zstd, executors took more memory
+    df.write.mode("overwrite").option("compression", compression).parquet(path)
     if Temporary._open:
         Temporary._open[-1].paths.append(path)
     table = spark.read.schema(df.schema).parquet(path)
