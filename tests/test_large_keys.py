@@ -45,3 +45,14 @@ def test_filtered_nodes_are_counted_by_key(spark, shifted):
     assert ours and ours == theirs
     n_questions = registry.queries()["q12_scope"](spark, shifted).count()
     assert join_rows(registry.queries()["r03_filtered_nodes"](spark, shifted)) <= 8 * n_questions
+
+
+@pytest.mark.parametrize("zone", ["TIMESTAMP", "TIMESTAMPTZ"])
+def test_event_windows_of_any_time(spark, tmp_path, zone):
+    """The last half millisecond of a window, no time, times before 1970, no kind, no value."""
+    duckdb.sql(f"""COPY (SELECT event_id, ts::TIMESTAMP::{zone} AS ts, event_type, value FROM (VALUES (1, '2024-01-01 00:04:59.999999', 'a', 1.5), (2, '2024-01-01 00:05:00', 'a', 2.25), (3, NULL, 'a', 1.0), (4, NULL, NULL, NULL),
+      (5, '1969-12-31 23:59:59.9999', 'a', 3.0), (6, '1970-01-01 00:00:01', 'a', 4.0), (7, '1969-12-31 23:53:00.0005', 'b', 5.0), (8, '1955-06-01 12:02:30.5', 'b', 6.0),
+      (9, '2024-01-01 00:04:59.9995', 'b', 1.0), (10, '2024-01-01 00:04:59.999499', 'b', 2.0), (11, '1955-06-01 12:05:00.0005', 'b', 7.0), (12, '1955-06-01 12:05:00.000499', 'b', 8.0), (13, '1955-06-01 12:04:59.9995', 'b', 9.0)) v(event_id, ts, event_type, value)) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    sql = registry.oracle_sql()["s22_event_windows"].split("AS order_index FROM raw)")[1]
+    ours, theirs = both(spark, registry.queries()["s22_event_windows"], sql, str(tmp_path))
+    assert len(ours) >= 7 and ours == theirs
