@@ -3,7 +3,10 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from juriloom.functions.text import ascii_key, tokens
+from juriloom.operators import navigation
 from juriloom.plans import registry
 
 from oracle import both
@@ -47,6 +50,29 @@ def test_filtered_nodes_are_counted_by_key(spark, shifted):
     assert join_rows(registry.queries()["r03_filtered_nodes"](spark, shifted)) <= 8 * n_questions
 
 
+def test_numbers_of_five_digits_name_no_document(spark, shifted):
+    ours, theirs = both(spark, registry.queries()["q11_inferred_documents"], registry.oracle_sql()["q11_inferred_documents"], shifted)
+    assert ours and ours == theirs
+
+
+def test_titles_meet_questions_by_rare_words(spark):
+    """Pairs that share common words alone are not made, and what is found is what all pairs give."""
+    kinds = ["Nghị định", "Thông tư", "Quyết định"]
+    titles = [(f"d{i}", f"{i}/2020/X", f"{kinds[i % 3]} {i} năm {2000 + i % 5} về thuế bộ {i % 11} ngành {i % 13}") for i in range(300)]
+    asked = [(f"q{i}", f"{kinds[i % 3]} {i * 7} năm {2000 + i % 5} về thuế gì?") for i in range(60)] + [("e", ""), ("n", None), ("k", "Theo 17/2020/X thì sao?")]
+    got = navigation.infer_documents(spark.createDataFrame(asked, "question_id string, question string"), spark.createDataFrame(titles, "doc_id string, doc_number string, title string"))
+    keys = spark.createDataFrame([(a, b) for a, b, *_ in asked] + [(d, t) for d, _, t in titles], "id string, x string").select("id", F.array_distinct(F.filter(tokens(ascii_key("x")), lambda w: F.length(w) >= 2)).alias("w"))
+    words = {r["id"]: set(r["w"] or []) for r in keys.collect()}
+    want = {"k": ("d17", 1.0)}
+    for q, _ in asked[:60]:
+        every = [(-len(words[q] & words[d]) / min(len(words[q]), len(words[d])), d) for d, *_ in titles if len(words[q] & words[d]) >= 5]
+        if every and -min(every)[0] >= 0.45:
+            want[q] = (min(every)[1], -min(every)[0])
+    assert len(want) > 20
+    assert {r["question_id"]: (r["doc_id"], r["score"]) for r in got.collect()} == want
+    assert join_rows(got) <= 60 * 300 / 2
+
+
 @pytest.mark.parametrize("zone", ["TIMESTAMP", "TIMESTAMPTZ"])
 def test_event_windows_of_any_time(spark, tmp_path, zone):
     """The last half millisecond of a window, no time, times before 1970, no kind, no value."""
