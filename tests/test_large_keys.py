@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from juriloom.functions.text import ascii_key, tokens
 from juriloom.operators import navigation
 from juriloom.plans import registry
+from juriloom.plans.corpus import nodes
 
 from oracle import both
 
@@ -82,3 +83,11 @@ def test_event_windows_of_any_time(spark, tmp_path, zone):
     sql = registry.oracle_sql()["s22_event_windows"].split("AS order_index FROM raw)")[1]
     ours, theirs = both(spark, registry.queries()["s22_event_windows"], sql, str(tmp_path))
     assert len(ours) >= 7 and ours == theirs
+
+
+def test_navigation_reads_the_documents_of_its_start_alone(spark, shifted, monkeypatch):
+    read, facts = [], navigation.node_facts
+    monkeypatch.setattr(navigation, "node_facts", lambda nodes: read.append(nodes.count()) or facts(nodes))
+    ours, theirs = both(spark, registry.queries()["r28_navigation"], registry.oracle_sql()["r28_navigation"], shifted)
+    assert ours and ours == theirs
+    assert read[0] <= nodes(spark, shifted).count() / 2
